@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .mixing import op8_mix_sources
 from .quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_mix_sources": op8_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_mix_sources": sql.OP8,
     "op10_quality_rules": sql.OP10,
 }

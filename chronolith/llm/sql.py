@@ -6,7 +6,7 @@ SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines
 FROM (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
       FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM {docs}))
 """
 
@@ -36,3 +36,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM base.source) AS kept
 FROM base
 """
+
+#: With :share, :weights and :docs for the pipeline's SQL; equal rows of a table would tie here.
+MIX = """
+WITH sized AS (
+  SELECT doc_id, source, size,
+    -ln((('0x' || left(md5('8:' || coalesce(doc_id::VARCHAR, 'null')), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+      / ((size + 1)::DOUBLE / (size + len(regexp_extract_all(t, '[#*$%&|<>]')) + 1)) AS key
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM {docs})),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS i FROM sources),
+weighed AS (SELECT *, ([5.0, 2.0, 1.0])[((i - 1) % 3 + 1)::INTEGER]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM ranked),
+levels AS (SELECT *, cap / w AS ratio,
+    (total - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+chosen AS (SELECT arg_min(level, (ratio, i)) AS level FROM levels WHERE level <= ratio),
+targets AS (SELECT source, source_size, coalesce(least(cap, c.level * w), cap) AS target,
+    CASE WHEN source_size > 0 THEN least(floor(coalesce(least(cap, c.level * w), cap) / source_size), 3)::BIGINT ELSE 0 END AS epochs FROM levels, chosen c),
+runs AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+gaps AS (SELECT source, max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM runs GROUP BY source),
+last AS (SELECT r.source, arg_min(doc_id, (abs(size - gap), key)) AS doc_id, min(abs(size - gap)) AS off, any_value(gap) AS gap
+  FROM runs r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source WHERE upto > rest AND size > 0 GROUP BY r.source),
+mixed AS (SELECT r.*, epochs + (upto <= rest OR coalesce(l.off < l.gap, false))::BIGINT AS copies
+  FROM runs r LEFT JOIN last l ON r.source IS NOT DISTINCT FROM l.source AND r.doc_id = l.doc_id)
+"""
+
+OP8 = MIX.format(docs="documents") + "SELECT doc_id, source, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
