@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .language import op2_language_id
 from .mixing import op8_mix_sources
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_language_id": op2_language_id,
     "op8_mix_sources": op8_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
