@@ -12,16 +12,19 @@ from .language import op2_language_id
 from .mixing import op8_mix_sources
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
+from .warc import op3_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
+    "op3_warc_revisits": op3_warc_revisits,
     "op8_mix_sources": op8_mix_sources,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_revisits": sql.OP3,
     "op8_mix_sources": sql.OP8,
     "op10_quality_rules": sql.OP10,
 }

@@ -64,3 +64,16 @@ mixed AS (SELECT r.*, epochs + (upto <= rest OR coalesce(l.off < l.gap, false)):
 """
 
 OP8 = MIX.format(docs="documents") + "SELECT doc_id, source, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
+
+#: Base 32 from SHA-1: of every 5 hexadecimal digits, 4 groups of 5 bits.
+OP3 = """
+WITH heads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(sha1(coalesce(html, '')), 1 + 5 * (i // 4)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest
+  FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS original FROM heads GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > original THEN original END AS refers_to
+FROM heads JOIN firsts USING (payload_digest)
+"""
