@@ -10,6 +10,7 @@ from . import sql
 from .fingerprints import op9_fingerprints
 from .language import op2_language_id
 from .mixing import op8_mix_sources
+from .quality_gam import op7_quality_gam
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
 from .warc import op3_warc_revisits
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_warc_revisits": op3_warc_revisits,
+    "op7_quality_gam": op7_quality_gam,
     "op8_mix_sources": op8_mix_sources,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
