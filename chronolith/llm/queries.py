@@ -10,6 +10,7 @@ from . import sql
 from .fingerprints import op9_fingerprints
 from .language import op2_language_id
 from .mixing import op8_mix_sources
+from .near_dedup import op6_near_dedup
 from .quality_gam import op7_quality_gam
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_warc_revisits": op3_warc_revisits,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_gam": op7_quality_gam,
     "op8_mix_sources": op8_mix_sources,
     "op9_fingerprints": op9_fingerprints,
