@@ -11,6 +11,7 @@ from .fingerprints import op9_fingerprints
 from .language import op2_language_id
 from .mixing import op8_mix_sources
 from .near_dedup import op6_near_dedup
+from .pieces import op5_sentencepiece_sampling
 from .quality_gam import op7_quality_gam
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_warc_revisits": op3_warc_revisits,
+    "op5_sentencepiece_sampling": op5_sentencepiece_sampling,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_gam": op7_quality_gam,
     "op8_mix_sources": op8_mix_sources,
