@@ -11,6 +11,7 @@ from .fingerprints import op9_fingerprints
 from .language import op2_language_id
 from .mixing import op8_mix_sources
 from .near_dedup import op6_near_dedup
+from .perspectives import op4_perspectives
 from .pieces import op5_sentencepiece_sampling
 from .quality_gam import op7_quality_gam
 from .quality_rules import op10_quality_rules
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_perspectives": op4_perspectives,
     "op5_sentencepiece_sampling": op5_sentencepiece_sampling,
     "op6_near_dedup": op6_near_dedup,
     "op7_quality_gam": op7_quality_gam,
@@ -31,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_warc_revisits": sql.OP3,
+    "op4_perspectives": sql.OP4,
     "op8_mix_sources": sql.OP8,
     "op10_quality_rules": sql.OP10,
 }

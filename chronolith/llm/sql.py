@@ -77,3 +77,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > original THEN
   CASE WHEN page_id > original THEN original END AS refers_to
 FROM heads JOIN firsts USING (payload_digest)
 """
+
+OP4 = """
+WITH turns AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[<>|\\r\\n]', '_', 'g') AS speaker,
+    replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS body FROM conversations),
+who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+headed AS (SELECT t.*, perspective, speaker = perspective AS own,
+    CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END AS header
+  FROM turns t JOIN who w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
+parts AS (SELECT *, '<|im_start|>' || header || chr(10) || body || '<|im_end|>' || chr(10) AS segment FROM headed),
+placed AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM parts)
+SELECT conv_id, perspective, turn, speaker, segment, e - length(segment) AS "start", e AS "end",
+  CASE WHEN own THEN e - length(segment) + 12 + length(header) + 1 END AS mask_start, CASE WHEN own THEN e - 1 END AS mask_end
+FROM placed
+"""
