@@ -14,7 +14,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "r1_bm25_topk"
-PLANS = ("temporal",)
+PLANS = ("temporal", "retrieval", "evaluation")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
