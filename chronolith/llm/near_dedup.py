@@ -40,7 +40,7 @@ from .fingerprints import mixed
 #: MinHash samples of a class, bits of its odd sketch, and the chance of missing a link.
 SAMPLES, BITS, MISS = 256, 1024, 1e-6
 #: Classes in a block of a bucket.
-BLOCK = 1024
+BLOCK = 512
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONGS = BITS // 64
 
@@ -248,6 +248,7 @@ def _completions(reps: DataFrame, members: DataFrame, found: DataFrame, p: Plan)
     def compare(group: list[dict]) -> Iterator[tuple[int, int, list[int] | None]]:
         node, side, part = (np.array([r[c] for r in group], dtype=np.int64) for c in ("node", "side", "component"))
         sketch, bands = (np.array([r[c] for r in group], dtype=np.int64) for c in ("sketch", "bands"))
+        sketch = sketch.view(np.uint64)  # of signed numbers bitwise_count takes the absolute value
         gid, band = group[0]["gid"], int(np.argmax(bands[0] == group[0]["bucket"]))
         pivots = np.isin(node, (group[0]["pivot_a"], group[0]["pivot_b"]))  # tested as stars
         second, needed = np.flatnonzero(side > 0), set()
