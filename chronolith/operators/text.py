@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[A-Za-z][A-Za-z\-]{2,}"
@@ -30,3 +31,167 @@ def salient_terms(text: Column, stop: Iterable[str], limit: int = 14) -> Column:
     lower = F.transform(kept, F.lower)
     first = F.filter(kept, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
     return F.slice(first, 1, limit)
+
+
+def token_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+", -1), lambda x: x != ""))
+
+
+# Abbreviations that do not end a sentence.
+ABBREVIATED = ("e.g.", "i.e.", "U.S.C.", "U.S.", "No.", "Sec.", "sec.", "et seq.", "Inc.", "Dr.", "Mr.", "Ms.", "vs.", "cf.", "Pub.", "Stat.")
+
+
+def sentence_bounds(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence: they end at . ! or ? before blanks and a capital, bracket or end, save after abbreviations."""
+    import re
+
+    out, start = [], 0
+    for m in re.finditer(r"[.!?](?=\s+[A-Z(\[]|\s*$)", text):
+        if text[: m.end()].endswith(ABBREVIATED):
+            continue
+        if text[start : m.end()].strip():
+            lead = len(text[start : m.end()]) - len(text[start : m.end()].lstrip())
+            out.append((start + lead, m.end()))
+        start = m.end()
+    if text[start:].strip():
+        lead = len(text[start:]) - len(text[start:].lstrip())
+        out.append((start + lead, len(text.rstrip())))
+    return out
+
+
+def packed(text: str, most: int = 200, overlap: int = 1) -> list[tuple[int, int]]:
+    """Spans of whole sentences of at most `most` tokens, each repeating the last `overlap` sentences of the one before.
+
+    A sentence that is too long by itself is cut at semicolons.
+    """
+    parts: list[tuple[int, int]] = []
+    for a, b in sentence_bounds(text):
+        if len(text[a:b].split()) <= most:
+            parts.append((a, b))
+            continue
+        at = a
+        for piece in text[a:b].split(";"):
+            if piece.strip():
+                parts.append((at, min(at + len(piece) + 1, b)))
+            at += len(piece) + 1
+    spans, i = [], 0
+    while i < len(parts):
+        j, n = i, 0
+        while j < len(parts) and (j == i or n + len(text[slice(*parts[j])].split()) <= most):
+            n += len(text[slice(*parts[j])].split())
+            j += 1
+        spans.append((parts[i][0], parts[j - 1][1]))
+        if j == len(parts):
+            break
+        i = max(i + 1, j - overlap)
+    return spans
+
+
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _spans(of):
+    def column(text: Column) -> Column:
+        @F.pandas_udf(SPANS)
+        def run(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: [{"start": a, "end": b} for a, b in of(t or "")])
+
+        return run(text)
+
+    return column
+
+
+sentence_spans = _spans(sentence_bounds)
+packed_spans = _spans(packed)
+
+
+def designator_path(anchor: Column) -> Column:
+    """a-1-i as [a, a-1, a-1-i]."""
+    levels = F.split(anchor, "-", -1)
+    return F.when(F.coalesce(anchor, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(levels)), lambda n: F.array_join(F.slice(levels, F.lit(1), n), "-")))
+
+
+def chapeaux(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs (section, pos, anchor, text) with the flush text ending in a colon that governs each."""
+    flush = F.coalesce(F.col("anchor"), F.lit("")) == ""
+    governs = F.when(flush, F.when(F.col("text").rlike(r":\s*$"), F.col("text")).otherwise(F.lit("")))
+    before = Window.partitionBy("section").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return paragraphs.withColumn("chapeau", F.nullif(F.last(governs, ignorenulls=True).over(before), F.lit("")))
+
+
+def merged_anchors(units: DataFrame) -> DataFrame:
+    """units (doc, pos, anchor) with repeated anchors told apart by .2, .3 and so on."""
+    n = F.row_number().over(Window.partitionBy("doc", "anchor").orderBy("pos"))
+    return units.withColumn("__n", n).withColumn("anchor", F.when(F.col("__n") > 1, F.concat("anchor", F.lit("."), F.col("__n").cast("string"))).otherwise(F.col("anchor"))).drop("__n")
+
+
+def budgeted(rows: DataFrame, by: str, order: str, size: Column, budget: int) -> DataFrame:
+    """Rows of each group up to the first that would overflow the budget."""
+    upto = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__upto", upto).filter(F.col("__upto") <= budget).drop("__upto")
+
+
+def loose(text: Column) -> Column:
+    """Case, punctuation and white space folded."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def token_ops(before: str, after: str) -> list[tuple[str, str, str]]:
+    """Word-level operations that turn one text into the other."""
+    from difflib import SequenceMatcher
+
+    a, b = before.split(), after.split()
+    return [(op, " ".join(a[i:j]), " ".join(b[k:m])) for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
+
+
+def compared(before: Column, after: Column) -> Column:
+    """similarity, tokens changed and word operations between two texts; null where either is."""
+
+    @F.pandas_udf("struct<similarity:double,changed:int,ops:array<struct<op:string,before:string,after:string>>>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(xs, ys, strict=True):
+            if x is None or y is None:
+                out.append((None, None, None))
+                continue
+            ops = token_ops(x, y)
+            same = sum(len(a.split()) for op, a, _ in ops if op == "equal")
+            total = len(x.split()) + len(y.split())
+            changed = sum(max(len(a.split()), len(b.split())) for op, a, b in ops if op != "equal")
+            out.append((2 * same / total if total else 1.0, changed, [{"op": o, "before": a, "after": b} for o, a, b in ops]))
+        return pd.DataFrame(out, columns=["similarity", "changed", "ops"])
+
+    return run(before, after)
+
+
+def change_class(before: Column, after: Column, diff: Column) -> Column:
+    """unchanged, editorial, substantive or wholesale, of two texts and their comparison."""
+    return (
+        F.when(before.eqNullSafe(after), "unchanged")
+        .when((loose(before) == loose(after)) | (diff["changed"] < 3), "editorial")
+        .when(diff["similarity"] < 0.5, "wholesale")
+        .otherwise("substantive")
+    )
+
+
+def snapshot_diff(before: DataFrame, after: DataFrame, alike: float = 0.9) -> DataFrame:
+    """section, other and kind of change between two snapshots (section, text, raw).
+
+    Sections on one side only are compared with each other, by blocks of equal rare words, and the
+    most alike pairs at or above `alike` are renumberings; greedy in order of section.
+    """
+    a = before.select("section", F.col("text").alias("a"), F.col("raw").alias("ra"))
+    b = after.select("section", F.col("text").alias("b"), F.col("raw").alias("rb"))
+    both = a.join(b, "section").withColumn("d", compared(F.col("a"), F.col("b")))
+    kind = F.when((F.col("a") == F.col("b")) & (F.col("ra") != F.col("rb")), "apparatus").otherwise(change_class(F.col("a"), F.col("b"), F.col("d")))
+    kept = both.select("section", F.lit(None).cast("string").alias("other"), kind.alias("kind"))
+    gone, new = a.join(b, "section", "left_anti"), b.join(a, "section", "left_anti")
+    key = lambda t: F.explode(F.slice(F.array_sort(F.array_distinct(words(t)), lambda x, y: F.length(y) - F.length(x)), 1, 8))
+    pairs = gone.select("section", "a", key(F.col("a")).alias("k")).join(new.select(F.col("section").alias("other"), "b", key(F.col("b")).alias("k")), "k").select("section", "other", "a", "b").distinct()
+    pairs = pairs.withColumn("s", compared(F.col("a"), F.col("b"))["similarity"]).filter(F.col("s") >= alike)
+    best = pairs.withColumn("i", F.row_number().over(Window.partitionBy("section").orderBy(F.col("s").desc(), "other"))).filter("i = 1")
+    best = best.withColumn("j", F.row_number().over(Window.partitionBy("other").orderBy(F.col("s").desc(), "section"))).filter("j = 1").select("section", "other")
+    renumbered = best.select("section", "other", F.lit("renumbered").alias("kind"))
+    removed = gone.join(best, "section", "left_anti").select("section", F.lit(None).cast("string").alias("other"), F.lit("removed").alias("kind"))
+    added = new.join(best.select(F.col("other").alias("section")), "section", "left_anti").select("section", F.lit(None).cast("string").alias("other"), F.lit("added").alias("kind"))
+    return kept.unionByName(renumbered).unionByName(removed).unionByName(added)

@@ -11,7 +11,10 @@ from .base import AT, NOW, VERSIONS_SQL, day, instant, query, table, versions
 _FORCE = f"valid_from <= TIMESTAMP '{AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}')"
 
 
-@query("v1_normalise", r"SELECT doc_id, md5(trim(regexp_replace(translate(regexp_replace(text, '[\p{Cc}\p{Cf}]', ' ', 'g'), '‘’“”–—−…', '''''""---.'), '\s+', ' ', 'g'))) AS digest FROM documents")
+@query(
+    "v1_normalise",
+    r"""SELECT doc_id, md5(trim(regexp_replace(translate(regexp_replace(text, '[\p{Cc}\p{Cf}]', ' ', 'g'), '‘’“”–—−…', chr(39) || chr(39) || '""---.'), '\s+', ' ', 'g'))) AS digest FROM documents""",
+)
 def v1(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(V.normalise(F.col("text")).cast("binary")).alias("digest"))
 
