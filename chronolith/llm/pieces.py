@@ -40,12 +40,12 @@ BLANK = 0x2581
 #: Stands for a U+2581 of the text; no piece has it.
 LITERAL = 0x110000
 #: Code points worked on at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 #: Words up to this length are filtered together, longer ones one by one in logarithms.
 SHORT = 48
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = 22
+_TABLE = 20
 
 
 class Model:
@@ -161,19 +161,22 @@ class _Words:
 
     def _filter(self, m: Model) -> None:
         """self.sums: the logarithm of the weight of all paths from a word's start to each place."""
-        weights = np.exp(m.log_w)
-        scale = 16.0  # a factor for each code point, the same on every path
-        for length in np.unique(self.length[self.length <= SHORT]):
-            rows = self.base[self.length == length]
-            a = np.zeros((int(length) + 1, len(rows)))
-            a[0] = 1.0
-            for j in range(1, int(length) + 1):
-                for n in range(1, min(m.longest, j) + 1):
-                    arc = self.arcs[n - 1, rows + j - n]
-                    on = arc >= 0
-                    if on.any():
-                        a[j] += np.where(on, a[j - n] * weights[arc], 0.0) * scale**n
-            self.sums[rows[None, :] + np.arange(int(length) + 1)[:, None]] = np.log(a) - np.log(scale) * np.arange(int(length) + 1)[:, None]
+        weights, scale = np.exp(m.log_w), 16.0  # a factor for each code point, the same on every path
+        short = int(np.searchsorted(self.length, SHORT, side="right"))
+        total = int(self.base[short - 1] + self.length[short - 1] + 1) if short else 0
+        paths = np.zeros(total)
+        paths[self.base[:short]] = 1.0
+        for j in range(1, int(self.length[short - 1]) + 1 if short else 0):
+            rows = self.base[np.searchsorted(self.length, j) : short] + j  # words of j code points or more
+            here = np.zeros(len(rows))
+            for n in range(1, min(m.longest, j) + 1):
+                arc = self.arcs[n - 1, rows - n]
+                on = np.flatnonzero(arc >= 0)
+                if len(on):
+                    here[on] += paths[rows[on] - n] * (weights[arc[on]] * scale**n)
+            paths[rows] = here
+        inside = np.arange(total) - np.repeat(self.base[:short], self.length[:short] + 1)
+        self.sums[:total] = np.log(paths) - np.log(scale) * inside
         for base, length in zip(self.base[self.length > SHORT], self.length[self.length > SHORT], strict=True):
             s = self.sums[base : base + length + 1]
             s[0] = 0.0
