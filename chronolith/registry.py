@@ -14,7 +14,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "r1_bm25_topk"
-PLANS = ("temporal", "retrieval", "evaluation", "calibration", "metrics", "localisation", "serving", "graph", "text", "sources", "streams")
+PLANS = ("temporal", "retrieval", "evaluation", "calibration", "metrics", "localisation", "serving", "graph", "text", "sources", "streams", "helpers")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
