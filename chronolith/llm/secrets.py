@@ -34,9 +34,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of fewer is dropped
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
-#: Candidates of the battery have a digit and a letter, and this many characters.
+#: Candidates of the battery have a digit and a letter, and this many characters; "=" ends a run, and up to two belong to it as padding where no key follows.
 LEAST_RANDOM = 20
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}={{0,2}}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
 FALSE_DISCOVERIES = 0.01
 
 ALPHABETS = {

@@ -47,6 +47,16 @@ def test_random_spans_stay_outside_of_base_spans():
     assert S.redacted(text, every) == "[secret] and [secret]!"
 
 
+def test_keys_beside_an_equals_sign_are_found():
+    key = "q7Zx2LmP9vKd4RtY8wNb3HsG6c"
+    for before, after in (("AWS_KEY=", ""), ("https://a.example/x?a=", "&x=1"), ("https://a.example/x?b=1&a=", ""), ("key=", "\n"), ("a==", ""), ('key="', '"'), ("key: ", ""), ("", "=admin"), ("a=", "=b"), ("", "===")):
+        text = f"see {before}{key}{after} end"
+        assert S.scan(text) == ([], [(4 + len(before), 3, 4 + len(before) + len(key))]), text
+    padded = f"see KEY={key}== end"
+    assert S.redacted(padded, S.scan(padded)[1]) == "see KEY=[secret] end"
+    assert not S.CANDIDATE.search("abcdefghijklmnopqrstuvwxyz=1")  # its digit is outside of the run
+
+
 def test_rows_agree_with_scan(messy, messy_rows, nothing):
     got = {(r["doc_id"], r["base_sha256"], r["spans"]) for r in S.scanned(messy).collect()}
     want = {(r[0], hashlib.sha256(S.joined(S.scan(r[1])[0]).encode()).hexdigest(), S.joined(S.scan(r[1])[1])) for r in messy_rows}
