@@ -286,11 +286,12 @@ def _completions(reps: DataFrame, members: DataFrame, found: DataFrame, p: Plan)
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The rows' signatures (doc_id, text_hash, n_shingles, set_id), and set_id with component_id."""
+    """The rows' signatures (doc_id, text_hash, n_shingles, set_id), and set_id with its component's
+    first row: component_id and, as stays, that row's text hash. Null ids come last."""
     p = plan(words, percent)
     sigs = written(signatures(docs, p), "signatures")
-    reps = sigs.filter("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "set_id", "r.doc_id", "r.text_hash", "least_id", "bands", "sketch"), "classes")
+    reps = sigs.filter("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "set_id", "r", "r.doc_id", "r.text_hash", "bands", "sketch"), "classes")
     keys = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot_a"), F.min_by("node", F.xxhash64("node", "bucket")).alias("pivot_b")).filter("n > 1")
     members = written(keys.join(buckets.withColumn("__b", F.bitwise_not("bucket")).drop("bucket"), F.bitwise_not("bucket") == F.col("__b")).drop("__b"), "members")
@@ -302,42 +303,46 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFram
     more = more.join(at, F.col("a") == F.col("__n"), "left").select(F.coalesce("component", "a").alias("a"), "b")
     more = more.join(at, F.col("b") == F.col("__n"), "left").select("a", F.coalesce("component", "b").alias("b"))
     joined = connected_components(more)
-    first = reps.select("set_id", "node", "least_id").join(at, F.col("node") == F.col("__n"), "left").select("set_id", "least_id", F.coalesce("component", "node").alias("node"))
+    first = reps.select("set_id", "node", "r").join(at, F.col("node") == F.col("__n"), "left").select("set_id", "r", F.coalesce("component", "node").alias("node"))
     last = joined.select(F.col("node").alias("__n"), "component")
-    classes = first.join(last, F.col("node") == F.col("__n"), "left").select("set_id", "least_id", F.coalesce("component", "node").alias("component"))
+    classes = first.join(last, F.col("node") == F.col("__n"), "left").select("set_id", "r", F.coalesce("component", "node").alias("component"))
     classes = written(classes, "class-components")
-    ids = classes.groupBy("component").agg(F.min("least_id").alias("component_id")).withColumnRenamed("component", "__c")
-    ids = ids.select(F.bitwise_not("__c").alias("__c"), "component_id")
-    classes = classes.join(ids, F.bitwise_not("component") == F.col("__c")).select("set_id", "component_id")
+    ids = classes.groupBy("component").agg(F.min("r").alias("r"))
+    ids = ids.select(F.bitwise_not("component").alias("__c"), F.col("r.doc_id").alias("component_id"), F.col("r.text_hash").alias("stays"))
+    classes = classes.join(ids, F.bitwise_not("component") == F.col("__c")).select("set_id", "component_id", "stays")
     return sigs.select("doc_id", "text_hash", "n_shingles", "set_id"), classes
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept for each row of docs."""
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and stays, whether it is its group's first row, for each row of docs."""
     sigs, classes = linked(docs, words, percent)
-    classes = classes.withColumnRenamed("set_id", "__set")
-    rows = sigs.join(classes, F.col("set_id") == F.col("__set"), "left")
+    rows = sigs.join(classes.select(F.col("set_id").alias("__set"), "component_id", F.col("stays").alias("__hash")), F.col("set_id") == F.col("__set"), "left")
     alone = F.col("set_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("__hash"))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.when(alone, True).otherwise(first).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept for each row of docs."""
+    return _grouped(docs, words, percent).select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs, same columns, with one row of each group of near-duplicates: that of its smallest id."""
-    rows = written(near_duplicates(docs, words, percent), "near-duplicates")
-    gone = rows.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    again = rows.filter("kept and n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("h")).filter("n > 1")
+    """docs, same columns, with one row of each group of near-duplicates: that of its smallest id, then text hash."""
+    rows = written(_grouped(docs, words, percent), "near-duplicates")
+    gone = rows.filter("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    again = rows.filter("stays and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     left = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return left
-    # rows that share the smallest id of their group: one of them stays
-    twice = again.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"))
-    whose = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    one = left.join(twice, whose & (F.xxhash64("text") == F.col("__hash"))).drop("__id", "__hash").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, whose, "left_anti").unionByName(one)
+    # rows that share id and text: one of them stays
+    twice = again.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    one = left.join(twice, same).drop("__id", "__hash").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(one)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

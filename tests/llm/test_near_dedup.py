@@ -70,6 +70,16 @@ def test_one_row_of_each_group_stays(messy, messy_rows):
     assert sorted(r["doc_id"] for r in rows if (r["text"] or "").split() and r["doc_id"] is not None) == sorted(groups_with_id)
 
 
+def test_unrelated_rows_of_null_or_equal_id_stay(spark):
+    ids = [None] * 4 + [7] * 4 + [9, 8]
+    texts = [prose(60, 900 + i) for i in range(8)]
+    rows = [(i, t, None, None, None, None, None) for i, t in zip(ids, [*texts, texts[0], texts[4]], strict=True)]
+    rows += [(None, "", None, None, None, None, None), (None, None, None, None, None, None, None), (7, " ", None, None, None, None, None), rows[1], rows[5]]
+    got = [(r["doc_id"], r["text"]) for r in N.without_near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()]
+    want = [(9, texts[0])] + [(None, t) for t in texts[1:4]] + [(7, t) for t in texts[4:]] + [(None, ""), (None, None), (7, " ")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(5)
     errors = []
