@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections import Counter, defaultdict, deque
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +145,8 @@ def token_ops(before: str, after: str) -> list[tuple[str, str, str]]:
     from difflib import SequenceMatcher
 
     a, b = before.split(), after.split()
+    if a == b:  # the matcher's result, without its time on long texts
+        return [("equal", " ".join(a), " ".join(b))] if a else []
     return [(op, " ".join(a[i:j]), " ".join(b[k:m])) for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
 
 
@@ -174,11 +180,116 @@ def change_class(before: Column, after: Column, diff: Column) -> Column:
     )
 
 
+def _keys(alike: float) -> Callable[[str], tuple[bytes, int, list[int]]]:
+    """Of a text: a digest of its tokens, their number, and hashes of its q-grams, the n-th of a kind told from the others.
+
+    Two texts of T tokens that are alike share M >= alike * T / 2 of them in at most T - 2 * M + 1 blocks, so
+    at least M - (q - 1) * (T - 2 * M + 1) q-grams. Where that is not positive, texts above 0.8 are equal.
+    """
+    q = 2 if alike > 0.8 else 1
+
+    def run(text: str) -> tuple[bytes, int, list[int]]:
+        tokens, seen, out = text.split(), Counter(), []
+        for gram in zip(*(tokens[i:] for i in range(q)), strict=False):
+            seen[gram] += 1
+            out.append(int.from_bytes(blake2b(f"{' '.join(gram)} {seen[gram]}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
+        return blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(tokens), out
+
+    return run
+
+
+def least_shared(n: int, alike: float) -> int:
+    """The fewest q-grams that a text of n tokens shares with one that is alike and not equal."""
+    q = 2 if alike > 0.8 else 1
+    total = 2 * n / (2 - alike)  # with the shortest text that can be alike
+    matched = alike * total / 2
+    return max(1, math.ceil(matched - (q - 1) * (total - 2 * matched + 1) - 1e-6))
+
+
+def is_alike(x: str, y: str, alike: float) -> bool:
+    from difflib import SequenceMatcher
+
+    m = SequenceMatcher(None, x.split(), y.split(), autojunk=False)
+    return m.real_quick_ratio() >= alike and m.quick_ratio() >= alike and m.ratio() >= alike
+
+
+def greedy_pairs(gone: list[tuple[str, bytes]], new: list[tuple[str, bytes]], links: dict[bytes, list[bytes]]) -> list[tuple[str, str]]:
+    """Each gone section in order with the first free new one whose class is linked to its own."""
+    free: dict[bytes, deque[str]] = defaultdict(deque)
+    for section, c in sorted(new):
+        free[c].append(section)
+    out = []
+    for section, c in sorted(gone):
+        first = min((x for x in links.get(c, ()) if free[x]), key=lambda x: free[x][0], default=None)
+        if first is not None:
+            out.append((section, free[first].popleft()))
+    return out
+
+
+def _renumbered(gone: DataFrame, new: DataFrame, alike: float) -> DataFrame:
+    """section and other of the renumberings between gone and new (section, t).
+
+    Texts of equal tokens form one class. Pairs of classes are proposed by an exact prefix filter, from
+    the rarest q-grams, and confirmed on whole texts; each component of confirmed pairs is matched greedily.
+    """
+    from ..llm.common import written
+
+    keys = _keys(alike)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [keys(t) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("section"), b.column("side"), b.column("t"), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["section", "side", "t", "c", "n", "grams"])
+
+    sides = gone.select("section", F.lit(0).alias("side"), "t").unionByName(new.select("section", F.lit(1).alias("side"), "t")).filter("section is not null and t is not null")
+    rows = written(sides.mapInArrow(classed, "section string, side int, t string, c binary, n long, grams array<long>"), "sections")
+    classes = rows.groupBy("side", "c").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    grams = classes.select("side", "c", "n", F.explode("grams").alias("g"))
+    # a gram on one side only proposes nothing, but takes a place in the prefix
+    count = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.join(count, "g").groupBy("side", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    least = F.udf(lambda n: least_shared(n, alike), "int")
+    prefix = ranked.withColumn("need", least("n")).select("side", "c", "n", F.explode(F.expr("slice(o, 1, greatest(size(o) - need + 1, 0))")).alias("e")).select("side", "c", "n", "e.g").distinct()
+    left = prefix.filter("side = 0").select("g", F.col("c").alias("x"), F.col("n").alias("nx"))
+    right = prefix.filter("side = 1").select("g", F.col("c").alias("y"), F.col("n").alias("ny"))
+    size = 2 * F.least("nx", "ny") >= (alike - 1e-9) * (F.col("nx") + F.col("ny"))
+    pairs = left.join(right, "g").filter(size & (F.col("x") != F.col("y"))).select("x", "y").distinct()
+    texts = rows.groupBy("side", "c").agg(F.first("t").alias("t"))
+    pairs = pairs.join(texts.filter("side = 0").select(F.col("c").alias("x"), F.col("t").alias("tx")), "x").join(texts.filter("side = 1").select(F.col("c").alias("y"), F.col("t").alias("ty")), "y")
+    confirm = F.udf(lambda x, y: is_alike(x, y, alike), "boolean")
+    equal = classes.groupBy("c").agg(F.countDistinct("side").alias("k")).filter("k = 2").select(F.col("c").alias("x"), F.col("c").alias("y"))
+    links = written(pairs.filter(confirm("tx", "ty")).select("x", "y").unionByName(equal), "links")
+
+    # the component of a class: the least class that it reaches
+    top = links.select(F.col("x").alias("c")).union(links.select("y")).distinct().withColumn("top", F.col("c"))
+    both = links.select(F.col("x").alias("c"), F.col("y").alias("d")).union(links.select("y", "x"))
+    state = None
+    while True:
+        near = both.join(top.withColumnRenamed("c", "d"), "d").groupBy("c").agg(F.min("top").alias("m"))
+        top = written(top.join(near, "c").select("c", F.least("top", "m").alias("top")), "tops")
+        now = tuple(top.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("c", "top"))).first())
+        if now == state:
+            break
+        state = now
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        at = {k: list(zip(f["a"], f["b"], strict=True)) for k, f in frame.groupby("kind")}
+        to = defaultdict(list)
+        for x, y in at.get(2, []):
+            to[bytes(x)].append(bytes(y))
+        sections = [[(s.decode("utf-8", "surrogatepass"), bytes(c)) for s, c in at.get(k, [])] for k in (0, 1)]
+        return pd.DataFrame(greedy_pairs(*sections, to), columns=["section", "other"])
+
+    members = rows.join(top, "c").select("top", F.col("side").alias("kind"), F.encode("section", "UTF-8").alias("a"), F.col("c").alias("b"))
+    edges = links.join(top.withColumnRenamed("c", "x"), "x").select("top", F.lit(2).alias("kind"), F.col("x").alias("a"), F.col("y").alias("b"))
+    return written(members.unionByName(edges).groupBy("top").applyInPandas(match, "section string, other string"), "renumberings")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, alike: float = 0.9) -> DataFrame:
     """section, other and kind of change between two snapshots (section, text, raw).
 
-    Sections on one side only are compared with each other, by blocks of equal rare words, and the
-    most alike pairs at or above `alike` are renumberings; greedy in order of section.
+    Sections on one side only are compared with each other: in order of section, each that is gone is
+    renumbered to the first free new one whose text is at least so much alike.
     """
     a = before.select("section", F.col("text").alias("a"), F.col("raw").alias("ra"))
     b = after.select("section", F.col("text").alias("b"), F.col("raw").alias("rb"))
@@ -186,11 +297,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, alike: float = 0.9) -> Da
     kind = F.when((F.col("a") == F.col("b")) & (F.col("ra") != F.col("rb")), "apparatus").otherwise(change_class(F.col("a"), F.col("b"), F.col("d")))
     kept = both.select("section", F.lit(None).cast("string").alias("other"), kind.alias("kind"))
     gone, new = a.join(b, "section", "left_anti"), b.join(a, "section", "left_anti")
-    key = lambda t: F.explode(F.slice(F.array_sort(F.array_distinct(words(t)), lambda x, y: F.length(y) - F.length(x)), 1, 8))
-    pairs = gone.select("section", "a", key(F.col("a")).alias("k")).join(new.select(F.col("section").alias("other"), "b", key(F.col("b")).alias("k")), "k").select("section", "other", "a", "b").distinct()
-    pairs = pairs.withColumn("s", compared(F.col("a"), F.col("b"))["similarity"]).filter(F.col("s") >= alike)
-    best = pairs.withColumn("i", F.row_number().over(Window.partitionBy("section").orderBy(F.col("s").desc(), "other"))).filter("i = 1")
-    best = best.withColumn("j", F.row_number().over(Window.partitionBy("other").orderBy(F.col("s").desc(), "section"))).filter("j = 1").select("section", "other")
+    best = _renumbered(gone.select("section", F.col("a").alias("t")), new.select("section", F.col("b").alias("t")), alike)
     renumbered = best.select("section", "other", F.lit("renumbered").alias("kind"))
     removed = gone.join(best, "section", "left_anti").select("section", F.lit(None).cast("string").alias("other"), F.lit("removed").alias("kind"))
     added = new.join(best.select(F.col("other").alias("section")), "section", "left_anti").select("section", F.lit(None).cast("string").alias("other"), F.lit("added").alias("kind"))

@@ -97,3 +97,29 @@ def test_apparatus_goes_and_tails_stay():
     node = ET.fromstring("<P>before<FTNT>note</FTNT> after</P>")
     assert markup.text_of(markup.strip_apparatus(node)) == "before after"
     assert markup.text_of(markup.strip_apparatus(node)) == "before after"
+
+
+def test_renumberings_are_those_of_the_plain_greedy(spark):
+    import random
+
+    draw = random.Random(4)
+    word = lambda: draw.choice("abcdefghij") + draw.choice("klmnop")
+    before, after = {"a": "same words here", "b": "same words here", "e": " ", "n": "keep this"}, {"c": "same words here", "d": "same words here", "f": "", "n": "keep this"}
+    for i in range(40):
+        tokens = [word() for _ in range(draw.choice([1, 4, 9, 10, 11, 20, 60, 200]))]
+        before[f"g{i}"] = " ".join(tokens)
+        for j in range(2):
+            changed = [draw.choice([w, w + " " + "long" * 9, "x"]) if draw.random() < 0.1 else w for w in tokens]
+            after[f"h{draw.randrange(10**6)}"] = " ".join(changed)
+            before[f"k{i}.{j}"] = " ".join(w for w in changed if draw.random() > 0.03)
+    taken, want = {}, set()
+    for old in sorted(set(before) - set(after)):
+        for new in sorted(set(after) - set(before)):
+            if new not in taken and SequenceMatcher(None, before[old].split(), after[new].split(), autojunk=False).ratio() >= 0.9:
+                taken[new] = old
+                break
+    want = {(old, new, "renumbered") for new, old in taken.items()} | {(s, None, "removed") for s in set(before) - set(after) - set(taken.values())} | {(s, None, "added") for s in set(after) - set(before) - set(taken)} | {("n", None, "unchanged")}
+    frame = lambda d: spark.createDataFrame([(k, v, v) for k, v in d.items()], "section string, text string, raw string")
+    got = [tuple(r) for r in X.snapshot_diff(frame(before), frame(after)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {("a", "c", "renumbered"), ("b", "d", "renumbered"), ("e", "f", "renumbered")} <= want and len(taken) > 20
