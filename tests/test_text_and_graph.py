@@ -123,3 +123,12 @@ def test_renumberings_are_those_of_the_plain_greedy(spark):
     got = [tuple(r) for r in X.snapshot_diff(frame(before), frame(after)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {("a", "c", "renumbered"), ("b", "d", "renumbered"), ("e", "f", "renumbered")} <= want and len(taken) > 20
+
+
+def test_snapshots_hold_documents_of_any_length(spark, tmp_path):
+    from chronolith.plans.text import d4
+
+    rows = [(i, f"w{i} " * 600, 2400) for i in range(18)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = {(r["section"], r["kind"]) for r in d4(spark, str(tmp_path)).collect()}
+    assert {("0", "unchanged"), ("2", "added"), ("3", "removed"), ("4", "renumbered"), ("7", "apparatus"), ("13", "renumbered")} <= kinds
