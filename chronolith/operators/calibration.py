@@ -6,12 +6,14 @@ confidences (rounded by callers) bounds what a window sees.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered, summed_before
 from .statistics import wilson
 
 
@@ -37,18 +39,20 @@ def brier(items: DataFrame) -> DataFrame:
 def risk_coverage(items: DataFrame) -> DataFrame:
     """confidence, coverage and risk: one point for each distinct confidence, from the highest down."""
     counts = items.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
-    down = Window.orderBy(F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n, wrong = F.sum("n").over(down), F.sum("wrong").over(down)
-    return counts.select("confidence", F.round(n / F.sum("n").over(every), 9).alias("coverage"), F.round(wrong / n, 9).alias("risk"))
+    down = F.col("confidence").desc()
+    rows = summed_before(summed_before(counts, "__n", F.col("n"), down), "__wrong", F.col("wrong"), down)
+    n, wrong = F.col("__n") + F.col("n"), F.col("__wrong") + F.col("wrong")
+    whole = rows.agg(F.sum("n").alias("__every"))
+    return rows.crossJoin(F.broadcast(whole)).select("confidence", F.round(n / F.col("__every"), 9).alias("coverage"), F.round(wrong / n, 9).alias("risk"))  # one row
 
 
 def aurc(points: DataFrame) -> DataFrame:
     """Area under risk over coverage by trapezoids; the curve is flat before its first point."""
-    up = Window.orderBy("coverage")
-    before = F.coalesce(F.lag("coverage").over(up), F.lit(0.0))
-    area = (F.col("coverage") - before) * (F.col("risk") + F.coalesce(F.lag("risk").over(up), F.col("risk"))) / 2
-    return points.select(area.alias("area")).agg(F.round(F.sum("area"), 9).alias("aurc"))
+    rows = numbered(points.select("coverage", "risk"), "i", "coverage")
+    before = rows.select((F.col("i") + 1).alias("i"), F.col("coverage").alias("c"), F.col("risk").alias("r"))
+    rows = rows.join(before, "i", "left")
+    area = (F.col("coverage") - F.coalesce("c", F.lit(0.0))) * (F.col("risk") + F.coalesce("r", "risk")) / 2
+    return rows.select(area.alias("area")).agg(F.round(F.sum("area"), 9).alias("aurc"))
 
 
 def operating_point(points: DataFrame, most_risk: float) -> DataFrame:
@@ -62,19 +66,34 @@ def point_at(points: DataFrame, threshold: float) -> DataFrame:
     return points.filter(F.col("confidence") >= threshold).agg(F.min_by(F.struct("confidence", "coverage", "risk"), "confidence").alias("p")).select("p.confidence", "p.coverage", "p.risk")
 
 
+def _pool(blocks: list[list[float]], block: list[float]) -> None:
+    """Adds a block (least score, n, hits) behind the others and pools while the rate does not rise."""
+    blocks.append(block)
+    while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
+        _, n, h = blocks.pop()
+        blocks[-1][1] += n
+        blocks[-1][2] += h
+
+
 def fit_isotonic(items: DataFrame, clip: bool = True) -> list[tuple[float, float]]:
     """(score, value) steps of a monotone fit by pooling adjacent violators.
 
-    Items are counted by score first; the driver sees distinct scores only.
+    Items are counted by score, and every range of scores pools its own violators first; pooling what
+    is left of all ranges gives the same steps. The driver gets those, which are the model.
     """
-    rows = items.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("double")).alias("hits")).orderBy("confidence").collect()
-    blocks: list[list[float]] = []  # least score, n, hits
-    for r in rows:
-        blocks.append([r["confidence"], r["n"], r["hits"]])
-        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
-            _, n, h = blocks.pop()
-            blocks[-1][1] += n
-            blocks[-1][2] += h
+    counts = items.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("double")).alias("hits"))
+
+    def pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: list[list[float]] = []
+        for frame in frames:
+            for row in frame[["confidence", "n", "hits"]].itertuples(index=False):
+                _pool(own, list(row))
+        yield pd.DataFrame(own, columns=["confidence", "n", "hits"])
+
+    rows = counts.repartitionByRange("confidence").sortWithinPartitions("confidence").mapInPandas(pooled, "confidence double, n double, hits double")
+    blocks: list[list[float]] = []
+    for r in sorted(rows.collect()):
+        _pool(blocks, list(r))
     total = sum(b[1] for b in blocks)
     edge = 1 / (2 * total) if clip and total else 0.0
     return [(score, min(max(h / n, edge), 1 - edge)) for score, n, h in blocks]

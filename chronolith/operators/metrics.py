@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import summed_before
+
 INF = float("inf")
 
 
@@ -83,18 +85,17 @@ def arrivals(session, n: int, rate: float, poisson: bool = False, seed: int = 0)
         return rows.select("id", (F.col("id") / rate).alias("offset"))
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 31)).cast("double") + 0.5) / float(1 << 31)
     gaps = rows.withColumn("gap", -F.log(u) / rate)
-    return gaps.select("id", F.sum("gap").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).alias("offset"))
+    return summed_before(gaps, "before", F.col("gap"), "id").select("id", (F.col("before") + F.col("gap")).alias("offset"))
 
 
 def zipf_slope(vocabulary: DataFrame, least: int = 1) -> DataFrame:
     """Slope of log frequency over log rank of vocabulary (term, n).
 
-    Terms of equal frequency share the mean of their log ranks' place: counts by frequency are
-    enough, so the window runs over distinct frequencies.
+    Terms of equal frequency share the mean of their log ranks' place, so counts by frequency are enough.
     """
     counts = vocabulary.filter(F.col("n") >= least).groupBy("n").agg(F.count(F.lit(1)).alias("terms"))
-    above = F.coalesce(F.sum("terms").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    points = counts.select(F.log(above + (F.col("terms") + 1) / 2).alias("x"), F.log("n").alias("y"), F.col("terms").cast("double").alias("w"))
+    counts = summed_before(counts, "above", F.col("terms"), F.col("n").desc())
+    points = counts.select(F.log(F.col("above") + (F.col("terms") + 1) / 2).alias("x"), F.log("n").alias("y"), F.col("terms").cast("double").alias("w"))
     sums = points.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"))
     return sums.select(F.round((F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / (F.col("w") * F.col("xx") - F.col("x") * F.col("x")), 6).alias("slope"))
 
@@ -102,7 +103,7 @@ def zipf_slope(vocabulary: DataFrame, least: int = 1) -> DataFrame:
 def vocabulary_growth(first_seen: DataFrame) -> DataFrame:
     """at and the number of terms first seen up to there, of first_seen (term, at)."""
     new = first_seen.groupBy("at").agg(F.count(F.lit(1)).alias("new"))
-    return new.select("at", F.sum("new").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("terms"))
+    return summed_before(new, "before", F.col("new"), "at").select("at", (F.col("before") + F.col("new")).alias("terms"))
 
 
 def synthetic_chunks(session, n: int, versions: int = 3, words: int = 12, vocabulary: int = 5000, seed: int = 0) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 # Characters that look like ASCII ones, and what they look like.
 CONFUSABLE, ASCII = "‘’“”–—−…", "''\"\"---."
 
@@ -79,7 +81,7 @@ def expiry(cited: DataFrame, now: Column, ttl: str) -> DataFrame:
 
 def evicted(entries: DataFrame, cap: int) -> DataFrame:
     """What a cache of `cap` entries loses: all but the most recently used."""
-    return entries.withColumn("__i", F.row_number().over(Window.orderBy(F.col("used_seq").desc()))).filter(F.col("__i") > cap).drop("__i")
+    return numbered(entries, "__i", F.col("used_seq").desc()).filter(F.col("__i") >= cap).drop("__i")
 
 
 def admitted(requests: DataFrame, rate: float, burst: float) -> DataFrame:

@@ -12,6 +12,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered, summed_before
+
 Z = 1.959963985
 
 
@@ -107,9 +109,16 @@ def index_quantile(rows: DataFrame, value: str, quantiles: list[float], *by: str
 
 def _at_rank(rows: DataFrame, value: str, ranks: dict[str, Column], *by: str) -> DataFrame:
     counts = rows.groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("__c").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.withColumns({"__upto": upto, "__n": F.sum("__c").over(group)})
+    # a hot group's values lie in many ranges; its first place is taken off afterwards
+    placed = summed_before(counts, "__before", F.col("__c"), *by, "__v")
+    groups = placed.groupBy(*by).agg(F.min("__before").alias("__first"), F.sum("__c").alias("__n"))
+    if by:
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
+        groups = groups.withColumnsRenamed({c: f"__g{i}" for i, c in enumerate(by)})
+        counts = placed.join(groups, same)
+    else:
+        counts = placed.crossJoin(F.broadcast(groups))  # one row
+    counts = counts.withColumn("__upto", F.col("__before") - F.col("__first") + F.col("__c"))
     out = [F.min(F.when(F.col("__upto") >= r, F.col("__v"))).alias(name) for name, r in ranks.items()]
     return counts.groupBy(*by).agg(F.max("__n").alias("n"), *out) if by else counts.agg(F.max("__n").alias("n"), *out)
 
@@ -128,7 +137,7 @@ def midpoint(start: Column, end: Column, horizon: Column, margin: int = 14) -> C
 
 def stride(rows: DataFrame, every: int, *order: str) -> DataFrame:
     """Each every-th row in this order, the first among them."""
-    return rows.withColumn("__i", F.row_number().over(Window.orderBy(*order))).filter((F.col("__i") - 1) % every == 0).drop("__i")
+    return numbered(rows, "__i", *order).filter(F.col("__i") % every == 0).drop("__i")
 
 
 def satisfied(sets: Column, got: Column) -> Column:

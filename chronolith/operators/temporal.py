@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 
 def in_interval(at: Column, start: Column, end: Column) -> Column:
     return (start <= at) & (end.isNull() | (end > at))
@@ -67,15 +69,15 @@ def scd2(snapshots: DataFrame, floor: Column | None = None) -> DataFrame:
     What the first snapshot shows is valid from `floor` on, if that is given.
     """
     dates = snapshots.select("date").distinct()
-    ranked = dates.select("date", F.row_number().over(Window.orderBy("date")).alias("ord"))
-    rows = snapshots.join(F.broadcast(ranked), "date")
+    ranked = numbered(dates, "n", "date").select("date", (F.col("n") + 1).cast("int").alias("ord"))
+    rows = snapshots.join(ranked, "date")
     order = Window.partitionBy("section").orderBy("ord")
     changed = F.lag("text").over(order).isNull() | (F.lag("ord").over(order) < F.col("ord") - 1) | ~F.lag("text").over(order).eqNullSafe(F.col("text"))
     rows = rows.withColumn("new", changed.cast("int"))
     rows = rows.withColumn("version", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.groupBy("section", "version").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.min("date").alias("valid_from"), F.first("text").alias("text"))
     following = ranked.select((F.col("ord") - 1).alias("last"), F.col("date").alias("valid_to"))
-    out = runs.join(F.broadcast(following), "last", "left")
+    out = runs.join(following, "last", "left")
     if floor is not None:
         out = out.withColumn("valid_from", F.when(F.col("first") == 1, floor).otherwise(F.col("valid_from")))
     return out.select("section", "version", "text", "valid_from", "valid_to")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
 WORD = r"[A-Za-z][A-Za-z\-]{2,}"
 
 
@@ -232,8 +234,6 @@ def _renumbered(gone: DataFrame, new: DataFrame, alike: float) -> DataFrame:
     Texts of equal tokens form one class. Pairs of classes are proposed by an exact prefix filter, from
     the rarest q-grams, and confirmed on whole texts; each component of confirmed pairs is matched greedily.
     """
-    from ..llm.common import written
-
     keys = _keys(alike)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

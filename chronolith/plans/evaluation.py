@@ -43,34 +43,32 @@ def e4(spark, sf):
 
 @query(
     "e3_salient_terms",
-    f"WITH w AS (SELECT doc_id, list_filter({_WORDS}, lambda w: lower(w) NOT IN ('the', 'and', 'that', 'this', 'with', 'for', 'was')) AS w FROM documents), k AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS k FROM w) SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, k, range(1, len(w) + 1)), lambda z: list_position(k, z[2]) = z[3]), lambda z: z[1])[1:14], ' ') AS terms FROM k WHERE doc_id % 10 = 0",
+    f"WITH w AS (SELECT doc_id, list_filter({_WORDS}, lambda w: lower(w) NOT IN ('the', 'and', 'that', 'this', 'with', 'for', 'was')) AS w FROM documents), k AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS k FROM w) SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, k, range(1, len(w) + 1)), lambda z: list_position(k, z[2]) = z[3]), lambda z: z[1])[1:14], ' ') AS terms FROM k",
 )
 def e3(spark, sf):
     from ..operators.text import salient_terms
 
-    # every tenth document, as the reference's coverage items are stride-sampled
-    docs = table(spark, sf, "documents").filter("doc_id % 10 = 0")
-    return docs.select("doc_id", F.array_join(salient_terms(F.col("text"), ["the", "and", "that", "this", "with", "for", "was"]), " ").alias("terms"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(salient_terms(F.col("text"), ["the", "and", "that", "this", "with", "for", "was"]), " ").alias("terms"))
 
 
 @query(
     "e6_temporal_items",
-    f"WITH {VERSIONS_SQL}, n AS (SELECT chunk_id, part, text, id, lead(text) OVER w AS after, lead(id) OVER w AS after_id FROM v WHERE system_to IS NULL WINDOW w AS (PARTITION BY chunk_id ORDER BY valid_from, id)), c AS (SELECT * FROM n WHERE after IS NOT NULL AND after <> text) SELECT chunk_id, side, CASE side WHEN 'before' THEN id ELSE after_id END AS evidence, CASE side WHEN 'before' THEN after_id ELSE id END AS distractor FROM c, (VALUES ('before'), ('after')) AS s(side) WHERE part = 'purchase'",
+    f"WITH {VERSIONS_SQL}, n AS (SELECT chunk_id, part, text, id, lead(text) OVER w AS after, lead(id) OVER w AS after_id FROM v WHERE system_to IS NULL WINDOW w AS (PARTITION BY chunk_id ORDER BY valid_from, id)), c AS (SELECT * FROM n WHERE after IS NOT NULL AND after <> text) SELECT chunk_id, side, CASE side WHEN 'before' THEN id ELSE after_id END AS evidence, CASE side WHEN 'before' THEN after_id ELSE id END AS distractor FROM c, (VALUES ('before'), ('after')) AS s(side)",
 )
 def e6(spark, sf):
     v = versions(spark, sf).filter(T.believed_at())
     order = Window.partitionBy("chunk_id").orderBy("valid_from", "id")
-    pairs = v.withColumns({"after": F.lead("text").over(order), "after_id": F.lead("id").over(order)}).filter("after is not null and after <> text and part = 'purchase'")
+    pairs = v.withColumns({"after": F.lead("text").over(order), "after_id": F.lead("id").over(order)}).filter("after is not null and after <> text")
     sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("id").alias("evidence"), F.col("after_id").alias("distractor")), F.struct(F.lit("after").alias("side"), F.col("after_id").alias("evidence"), F.col("id").alias("distractor"))))
     return pairs.select("chunk_id", sides.alias("s")).select("chunk_id", "s.*")
 
 
 @query(
     "e7_ambiguous",
-    "WITH i AS (SELECT left(text, 12) AS query, lang AS as_of, doc_id, source AS evidence FROM documents), c AS (SELECT *, count(DISTINCT evidence) OVER (PARTITION BY query, as_of) AS n, row_number() OVER (PARTITION BY query, as_of ORDER BY doc_id) AS i FROM i) SELECT query, as_of, doc_id FROM c WHERE n = 1 AND i = 1",
+    "WITH i AS (SELECT md5(text) AS query, lang AS as_of, doc_id, source AS evidence FROM documents), c AS (SELECT *, count(DISTINCT evidence) OVER (PARTITION BY query, as_of) AS n, row_number() OVER (PARTITION BY query, as_of ORDER BY doc_id) AS i FROM i) SELECT query, as_of, doc_id FROM c WHERE n = 1 AND i = 1",
 )
 def e7(spark, sf):
-    items = table(spark, sf, "documents").select(F.left("text", F.lit(12)).alias("query"), F.col("lang").alias("as_of"), "doc_id", F.col("source").alias("evidence"))
+    items = table(spark, sf, "documents").select(F.md5(F.col("text").cast("binary")).alias("query"), F.col("lang").alias("as_of"), "doc_id", F.col("source").alias("evidence"))
     kept = items.groupBy("query", "as_of").agg(F.min("doc_id").alias("doc_id"), F.min("evidence").alias("a"), F.max("evidence").alias("b"))
     return kept.filter("a = b").select("query", "as_of", "doc_id")
 

@@ -105,18 +105,18 @@ def w13(spark, sf):
 
 _TRIPLES = f"""WITH {VERSIONS_SQL}, n AS (SELECT chunk_id, section_id, part, id, text, lead(id) OVER w AS after_id FROM v WHERE system_to IS NULL WINDOW w AS (PARTITION BY chunk_id ORDER BY valid_from, id)),
 f AS (SELECT section_id, part, id, chunk_id FROM v WHERE system_to IS NULL AND valid_from <= TIMESTAMP '{AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}')),
-t AS (SELECT chunk_id AS query, id AS gold, after_id AS negative, 'amendment' AS kind FROM n WHERE after_id IS NOT NULL AND part = 'purchase'
- UNION SELECT a.chunk_id, a.id, b.id, 'sibling' FROM f a JOIN f b ON a.section_id = b.section_id AND a.chunk_id <> b.chunk_id WHERE a.part = 'purchase')"""
+t AS (SELECT chunk_id AS query, id AS gold, after_id AS negative, 'amendment' AS kind FROM n WHERE after_id IS NOT NULL
+ UNION SELECT a.chunk_id, a.id, b.id, 'sibling' FROM f a JOIN f b ON a.section_id = b.section_id AND a.chunk_id <> b.chunk_id)"""
 
 
 def triples(spark, sf):
     """query, gold, negative and kind: the next version, and siblings in force, as negatives."""
     v = versions(spark, sf)
     order = Window.partitionBy("chunk_id").orderBy("valid_from", "id")
-    amended = v.filter(T.believed_at()).withColumn("after_id", F.lead("id").over(order)).filter("after_id is not null and part = 'purchase'")
+    amended = v.filter(T.believed_at()).withColumn("after_id", F.lead("id").over(order)).filter("after_id is not null")
     force = T.as_of(v, instant(AT))
     other = force.select("section_id", F.col("chunk_id").alias("__c"), F.col("id").alias("negative"))
-    siblings = force.filter("part = 'purchase'").join(other, "section_id").filter("chunk_id <> __c")
+    siblings = force.join(other, "section_id").filter("chunk_id <> __c")
     both = amended.select(F.col("chunk_id").alias("query"), F.col("id").alias("gold"), F.col("after_id").alias("negative"), F.lit("amendment").alias("kind"))
     return both.unionByName(siblings.select(F.col("chunk_id").alias("query"), F.col("id").alias("gold"), "negative", F.lit("sibling").alias("kind"))).distinct()
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
 from ..operators import metrics as M
 from ..operators import ranking as R
 from .base import VERSIONS_SQL, query, table, versions
@@ -96,11 +96,10 @@ def _vocabulary(spark, sf):
     return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b2_ranked_vocab", f"WITH {_VOC} SELECT term, n, row_number() OVER (ORDER BY n DESC, term)::INTEGER AS rank FROM voc ORDER BY rank LIMIT 500")
+@query("b2_ranked_vocab", f"WITH {_VOC} SELECT term, n, row_number() OVER (ORDER BY n DESC, term)::INTEGER AS rank FROM voc")
 def b2(spark, sf):
-    # a report of the first 500: the top is taken before ranks are given
-    first = _vocabulary(spark, sf).orderBy(F.col("n").desc(), "term").limit(500)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "term")))
+    ranked = numbered(_vocabulary(spark, sf), "i", F.col("n").desc(), "term")
+    return ranked.select("term", "n", (F.col("i") + 1).cast("int").alias("rank"))
 
 
 @query(

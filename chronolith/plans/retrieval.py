@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
 from ..functions.porter import stemmed
 from ..operators import ranking as R
 from ..operators import temporal as T
@@ -187,10 +188,8 @@ def r14_naive(spark, sf):
     "WITH rows AS (SELECT conv_id * 1000 + turn AS id, conv_id AS parent_id, text FROM conversations), asked AS (SELECT id, row_number() OVER (ORDER BY id DESC) AS pos FROM rows WHERE id % 13 = 4), a AS (SELECT parent_id, min(pos)::INTEGER AS pos FROM asked JOIN rows USING (id) GROUP BY parent_id) SELECT parent_id, pos, md5(string_agg(text, ' ' ORDER BY id)) AS digest FROM rows JOIN a USING (parent_id) GROUP BY parent_id, pos",
 )
 def r15(spark, sf):
-    from pyspark.sql import Window
-
     rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("parent_id"), "text")
-    asked = rows.filter("id % 13 = 4").select("id", F.row_number().over(Window.orderBy(F.col("id").desc())).alias("pos"))
+    asked = numbered(rows.filter("id % 13 = 4").select("id"), "n", F.col("id").desc()).select("id", (F.col("n") + 1).cast("int").alias("pos"))
     return R.parents(asked, rows).select("parent_id", "pos", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

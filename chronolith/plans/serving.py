@@ -49,9 +49,9 @@ def v4(spark, sf):
     return c.select("conv_id", F.size("x").alias("given"), F.size(kept).alias("kept"), F.length(F.array_join(kept, "")).alias("chars"))
 
 
-@query("v5_neutralise", r"SELECT conv_id, turn, regexp_replace('<|' || role || '|>' || left(text, 20), '<\|([^|>]*)\|>', '[\1]', 'g') AS safe FROM conversations")
+@query("v5_neutralise", r"SELECT conv_id, turn, regexp_replace('<|' || role || '|>' || text, '<\|([^|>]*)\|>', '[\1]', 'g') AS safe FROM conversations")
 def v5(spark, sf):
-    raw = F.concat(F.lit("<|"), "role", F.lit("|>"), F.left("text", F.lit(20)))
+    raw = F.concat(F.lit("<|"), "role", F.lit("|>"), F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", V.neutralised(raw).alias("safe"))
 
 
@@ -69,7 +69,7 @@ def v7(spark, sf):
 
 @query(
     "v9_answer_problems",
-    f"""WITH {VERSIONS_SQL}, c AS (SELECT user_id AS answer, event_id AS claim, CASE WHEN event_id % 31 = 0 THEN ' ' ELSE event_type END AS text, CASE WHEN event_id % 23 = 0 THEN []::BIGINT[] WHEN event_id % 19 = 0 THEN [event_id, event_id] ELSE [event_id, event_id + 1] END AS cited FROM events WHERE event_id < 2000),
+    f"""WITH {VERSIONS_SQL}, c AS (SELECT user_id AS answer, event_id AS claim, CASE WHEN event_id % 31 = 0 THEN ' ' ELSE event_type END AS text, CASE WHEN event_id % 23 = 0 THEN []::BIGINT[] WHEN event_id % 19 = 0 THEN [event_id, event_id] ELSE [event_id, event_id + 1] END AS cited FROM events),
 e AS (SELECT DISTINCT user_id AS answer, event_id AS id FROM events), f AS (SELECT id FROM v WHERE system_to IS NULL), x AS (SELECT answer, claim, unnest(list_distinct(cited)) AS id FROM c)
 SELECT answer, claim, 'empty_claim' AS problem FROM c WHERE trim(text) = '' UNION SELECT answer, claim, 'uncited' FROM c WHERE len(cited) = 0 UNION SELECT answer, claim, 'repeated_citation' FROM c WHERE len(cited) <> len(list_distinct(cited))
 UNION SELECT answer, claim, 'not_in_evidence' FROM x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.answer = x.answer AND e.id = x.id) UNION SELECT answer, claim, 'not_in_force' FROM x WHERE id NOT IN (SELECT id FROM f)""",
@@ -78,7 +78,7 @@ def v9(spark, sf):
     e = table(spark, sf, "events")
     i = F.col("event_id")
     cited = F.when(i % 23 == 0, F.array().cast("array<bigint>")).when(i % 19 == 0, F.array(i, i)).otherwise(F.array(i, i + 1))
-    claims = e.filter("event_id < 2000").select(F.col("user_id").alias("answer"), i.alias("claim"), F.when(i % 31 == 0, " ").otherwise(F.col("event_type")).alias("text"), cited.alias("cited"))
+    claims = e.select(F.col("user_id").alias("answer"), i.alias("claim"), F.when(i % 31 == 0, " ").otherwise(F.col("event_type")).alias("text"), cited.alias("cited"))
     evidence = e.select(F.col("user_id").alias("answer"), i.alias("id")).distinct()
     return V.answer_problems(claims, evidence, versions(spark, sf).filter(T.believed_at()).select("id"))
 

@@ -40,11 +40,11 @@ def c5(spark, sf):
 
 @query(
     "c6_chapeaux",
-    "WITH p AS (SELECT conv_id AS section, turn AS pos, CASE WHEN role = 'user' THEN '' ELSE 'a' || turn::VARCHAR END AS anchor, CASE WHEN role = 'user' AND turn % 4 = 0 THEN left(text, 9) || ':' ELSE left(text, 9) END AS text FROM conversations), g AS (SELECT *, CASE WHEN anchor = '' THEN CASE WHEN regexp_matches(text, ':\\s*$') THEN text ELSE '' END END AS governs FROM p) SELECT section, pos, nullif(last_value(governs IGNORE NULLS) OVER (PARTITION BY section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS chapeau FROM g",
+    "WITH p AS (SELECT conv_id AS section, turn AS pos, CASE WHEN role = 'user' THEN '' ELSE 'a' || turn::VARCHAR END AS anchor, CASE WHEN role = 'user' AND turn % 4 = 0 THEN text || ':' ELSE text END AS text FROM conversations), g AS (SELECT *, CASE WHEN anchor = '' THEN CASE WHEN regexp_matches(text, ':\\s*$') THEN text ELSE '' END END AS governs FROM p) SELECT section, pos, nullif(last_value(governs IGNORE NULLS) OVER (PARTITION BY section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS chapeau FROM g",
 )
 def c6(spark, sf):
     user = F.col("role") == "user"
-    text = F.left("text", F.lit(9))
+    text = F.col("text")
     p = table(spark, sf, "conversations").select(F.col("conv_id").alias("section"), F.col("turn").alias("pos"), F.when(user, "").otherwise(F.concat(F.lit("a"), F.col("turn").cast("string"))).alias("anchor"), F.when(user & (F.col("turn") % 4 == 0), F.concat(text, F.lit(":"))).otherwise(text).alias("text"))
     return X.chapeaux(p).select("section", "pos", "chapeau")
 
@@ -207,7 +207,7 @@ def q10(spark, sf):
 
 @query("q11_carry")
 def q11(spark, sf):
-    return Q.carried(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "elliptical", F.left("retrieval", F.lit(60)).alias("retrieval"))
+    return Q.carried(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "elliptical", "retrieval")
 
 
 @query("x1_align")
