@@ -6,12 +6,13 @@ everywhere in this subpackage.
 
 from __future__ import annotations
 
-import uuid
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import dropped, scratch, written
+
+__all__ = ["BROADCAST_KEYS", "GAP", "WORD", "by_small_key", "dropped", "free_prefix", "scratch", "table", "with_columns", "word_count", "words", "written"]
+
 #: Java regular expressions for what separates words and what makes them.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,39 +34,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir as the cluster sets it.
-
-    Only where it is unset, as in tests on one machine, the warehouse folder takes its place.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        set_here = sc._jsc.sc().getCheckpointDir()
-        found = set_here.get() if set_here.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder and read back: lineage is cut,
-    column pruning still works, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def by_small_key(key: Column) -> Column:
     """The key as an expression whose partitioning Spark does not take for the key's own.
 
@@ -81,5 +49,9 @@ def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names], *[v.alias(k) for k, v in new.items()])
 
 
-def is_local(path: str) -> bool:
-    return path.startswith("file:") or PurePosixPath(path).is_absolute()
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has, for columns of an operator's own."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p

@@ -4,7 +4,7 @@
 RULES = r"""
 SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines
 FROM (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
       FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM {docs}))
@@ -23,18 +23,19 @@ SELECT doc_id, count(*)::BIGINT AS n_repeat_words FROM (
 #: The verdict needs the hosts' rates with the fitted prior: see quality_rules.host_rates.
 OP10 = f"""
 WITH base AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS suspect
   FROM (SELECT r.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM ({RULES.format(docs="documents")}) r LEFT JOIN ({REPEATS.format(docs="documents")}) x USING (doc_id))),
-hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM base GROUP BY source),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR suspect)::DOUBLE AS f FROM base GROUP BY source),
 sums AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS h, sum(f * f / n) AS ffn, sum(n * n) AS nn,
            least(greatest(sum(f) / sum(n), 1e-6), 1 - 1e-6) AS m FROM hosts),
 excess AS (SELECT m, CASE WHEN n - nn / n > 0 THEN (ffn - n * power(f / n, 2) - (h - 1) * m * (1 - m)) / (n - nn / n) ELSE 0 END AS e FROM sums),
 prior AS (SELECT m, CASE WHEN e > 0 THEN least(greatest(m * (1 - m) / e - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM excess),
 rates AS (SELECT source, (f + m * s) / (n + s) AS rate, n + s AS k FROM hosts, prior),
-bad AS (SELECT source FROM rates WHERE rate - 3 * sqrt(rate * (1 - rate) / (k + 1)) > 0.5)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM base.source) AS kept
-FROM base
+sure AS (SELECT source, rate - 3 * sqrt(rate * (1 - rate) / (k + 1)) AS rate FROM rates)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, suspect,
+  NOT base_failed AND rate <= 0.5 AND NOT (suspect AND rate > 0.05) AS kept
+FROM base JOIN sure ON sure.source IS NOT DISTINCT FROM base.source
 """
 
 #: With :share, :weights and :docs for the pipeline's SQL; equal rows of a table would tie here.
