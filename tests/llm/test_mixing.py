@@ -68,3 +68,24 @@ def test_copies_become_rows(messy, nothing):
     assert mixed.columns == messy.columns and mixed.count() > 0
     assert M.mixed_documents(nothing).collect() == []
     assert M.mix(M.sized_documents(nothing)).collect() == []
+
+
+def test_words_of_the_rows_meet_the_targets_whatever_the_ids(spark):
+    rows = [(i % 40 if i % 3 else None, f"w{i} " * (5 + i * 7 % 40), "ab"[i % 2], i) for i in range(400)]
+    rows += [(7, "the same text " * 4, "a", 1000 + i) for i in range(150)] + [(7, "the same text " * 4, "b", 2000)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __key long")
+    sized = M.sized_documents(docs)
+    plan = {r["source"]: r for r in M.mix(sized).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()}
+    got = M.mixed_documents(docs)
+    assert got.columns == docs.columns
+    words = {r["source"]: r["w"] for r in got.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("w")).collect()}
+    assert sum(r["n"] for r in plan.values()) == len(rows)
+    for source, r in plan.items():
+        assert words[source] == r["taken"] and abs(r["taken"] - r["target"]) <= 20, source
+    most = got.groupBy("__key").count().agg(F.max("count")).first()[0]
+    assert most <= 3 * 20  # the 20 rows of key 2000 are 3 each at most
+
+
+def test_repeats_of_a_row_are_dealt_out(spark):
+    rows = spark.createDataFrame([("x", 2500), ("y", 1), ("z", 1000)], "a string, n long")
+    assert {r["a"]: r["count"] for r in M._repeated(rows, "n").groupBy("a").count().collect()} == {"x": 2500, "y": 1, "z": 1000}
