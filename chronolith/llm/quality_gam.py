@@ -6,12 +6,14 @@ small rate, to that feature's lookup table. Then the pairs whose best cross-cut
 is left get tables of their own, filled in the same way. A score is the logistic of a sum of table
 entries, looked up for a whole batch at once.
 
-The model is fitted on the driver to a bounded sample: the labelled rows with the smallest hashes of
-their ids, at most `sample` of them. Features and scores cover whole texts of all rows.
+The model is fitted on the driver to a bounded sample: of the labels those with the smallest hashes of
+their ids, and of the documents they join the rows with the smallest hashes of id, text and label, at
+most `sample` of either. Features and scores cover whole texts of all rows.
 
 Defined results: a null text counts as empty; all texts get a score; rows without a label, with a
 null one or in the held-out fold teach nothing; with labels of one kind only, or none, every score is
-that label's smoothed share; repeated labels of an id each count; an empty table gives no rows.
+that label's smoothed share; repeated labels and documents of an id each count; an empty table gives
+no rows; other columns of either table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -162,10 +164,11 @@ def feature_rows(docs: DataFrame, *others: str) -> DataFrame:
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     """The model of the labels (doc_id, quality) outside of the held-out fold."""
-    rows = labels.filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id"), 5) != 0)
-    rows = rows.select("doc_id", (F.col("quality") > 0).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    # at most `sample` rows of two numbers
-    found = feature_rows(docs.join(F.broadcast(rows), "doc_id"), "doc_id", "y").orderBy("doc_id", "y").collect()
+    rows = labels.select("doc_id", "quality").filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id"), 5) != 0)
+    rows = rows.select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    # at most `sample` rows of two numbers; copies of an id could make more of them
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("id")).select("id", "y", F.xxhash64("id", "text", "y").alias("h"), "text")
+    found = feature_rows(texts.orderBy("h", "id", "y").limit(sample), "h", "id", "y").orderBy("h", "id", "y", "x").collect()
     x = np.array([r["x"] for r in found], dtype=float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r["y"] for r in found], dtype=float))
 

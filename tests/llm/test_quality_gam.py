@@ -41,10 +41,40 @@ def test_edges(spark, messy, nothing, messy_rows):
     model = G.learned(messy.drop("KEPT"), labels)
     got = G.scored(messy, model).collect()
     assert len(got) == len(messy_rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert G.learned(messy.withColumnsRenamed({"lang": "y", "source": "id", "n_chars": "h"}).drop("KEPT"), labels.withColumnRenamed("toxic", "y")).margin(np.ones((1, 16))) == model.margin(np.ones((1, 16)))
     empty = G.learned(nothing, labels.limit(0))
     assert G.scored(nothing, empty).collect() == []
 
 
+def test_repeated_ids_do_not_go_beyond_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 20, f"text {i} !!", i) for i in range(2000)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(G, "fit", lambda x, y: seen.append(len(x)))
+    G.learned(docs, labels, sample=5)
+    assert seen == [5]
+
+
+def test_scores_agree_with_a_plain_model(spark):
+    """Every row's score, by a walk over the model's tables without numpy, from the query's own training rows."""
+    import math
+    from bisect import bisect_right
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    taught = sorted((r["doc_id"], int(r["quality"] > 0)) for r in labels.collect() if r["quality"] is not None and fold_of(r["doc_id"], 5) != 0 and r["doc_id"] in texts)
+    m = G.fit(np.array([G.features(texts[i]) for i, _ in taught]), np.array([float(y) for _, y in taught]))
+    want = {}
+    for i, t in texts.items():
+        at = [bisect_right(e.tolist(), v) for e, v in zip(m.edges, G.features(t), strict=True)]
+        margin = m.intercept + sum(t[b] for t, b in zip(m.singles, at, strict=True)) + sum(t[at[j]][at[k]] for (j, k), t in m.pairs.items())
+        want[i] = 1 / (1 + math.exp(-margin))
+    got = {r["doc_id"]: r for r in G.op7_quality_gam(spark, sf).collect()}
+    assert set(got) == set(want)
+    assert all(abs(r["score"] - want[i]) < 1e-6 and r["held_out"] == (fold_of(i, 5) == 0) for i, r in got.items())
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = G.op7_quality_gam(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
