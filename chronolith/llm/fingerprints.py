@@ -2,16 +2,18 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range. Which hashes are kept
 doesn't depend on the document, so sketches of parts merge by union, and the share of one sketch that
-another has estimates containment even between a short and a very long text.
-
-Hashes have 64 bits; those kept lie below 2^64 / SCALE. As text a fingerprint is the number of
-code points, a digest of the text, and the kept hashes in ascending order, 8 hexadecimal digits each
-(the 32 bits below the leading zero bits of the scale).
-
-Defined results: a null text counts as empty and has no shingle; a text shorter than a shingle is one
-shingle; two sketches without kept hashes are alike exactly if their digests are equal; equal texts
-have equal fingerprints. Rows are ordered by id, nulls first, equal ids by text; the last row's next
-is the first row. A table of one row has itself as next; an empty table gives no rows.
+another has estimates containment even between a short and a very long text. A text none of whose
+hashes lies below the threshold keeps its smallest one; a union drops such hashes where it has others
+or a smaller one, so merging stays what the sketch of both texts' shingles would be.
+
+Hashes have 64 bits; those kept lie below 2^64 / SCALE. A fingerprint is the kept hashes in ascending
+order, 8 hexadecimal digits each (the 32 bits below the leading zero bits of the scale); a smallest hash
+that stands in for them is written as "~" and the 8 digits of its first 32 bits.
+
+Defined results: a null text counts as empty and has the empty fingerprint, which is like itself alone;
+a text shorter than a shingle is one shingle; equal texts have equal fingerprints. Rows are ordered by
+id, nulls first, equal ids by a hash of the text, then by text; the last row's next is the first row. A
+table of one row has itself as next; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 #: Code points in a shingle, and the fraction 1 / SCALE of hashes that is kept (a power of 2).
 SHINGLE, SCALE = 6, 16
+#: Characters of a range of documents, which one task works through.
+RANGE_CHARS = 64 << 20
 _BITS = SCALE.bit_length() - 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -57,38 +60,51 @@ def shingle_hashes(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mixed(h)
 
 
-class Sketch:
-    """What a fingerprint holds: length, digest of the text, kept hashes."""
+_LIMIT = np.uint64(1 << (64 - _BITS))
+
 
-    __slots__ = ("digest", "kept", "n")
+def kept(hashes: np.ndarray) -> np.ndarray:
+    """The hashes of a sketch, sorted: those below the threshold, or else the smallest."""
+    below = np.unique(hashes[hashes < _LIMIT])
+    return below if len(below) or not len(hashes) else hashes.min(keepdims=True)
 
-    def __init__(self, text: str):
-        points = code_points(text)
-        h = shingle_hashes(points)
-        self.n = len(points)
-        self.kept = np.unique(h[h < np.uint64(1 << (64 - _BITS))])
-        self.digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
-    def text(self) -> str:
-        return f"{self.n}:{self.digest}:{(self.kept >> np.uint64(32 - _BITS)).astype('>u4').tobytes().hex()}"
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of the union of two documents' shingles."""
+    return kept(np.concatenate((a, b)))
 
-    def likeness(self, other: Sketch) -> float:
-        """Share of the kept hashes of both that both have."""
-        if self.n == other.n and self.digest == other.digest:
-            return 1.0
-        shared = len(np.intersect1d(self.kept, other.kept, assume_unique=True))
-        every = len(self.kept) + len(other.kept) - shared
-        return shared / every if every else 0.0
 
+def fingerprint(sketch: np.ndarray) -> str:
+    if len(sketch) and sketch[0] >= _LIMIT:
+        return f"~{int(sketch[0]) >> 32:08x}"
+    return (sketch >> np.uint64(32 - _BITS)).astype(">u4").tobytes().hex()
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Kept hashes of the union of two documents."""
-    return np.union1d(a, b)
+
+def parsed(text: str) -> np.ndarray:
+    """The sketch of a fingerprint, to the 32 bits that it holds."""
+    if text.startswith("~"):
+        return np.array([int(text[1:], 16) << 32], dtype=np.uint64)
+    return np.frombuffer(bytes.fromhex(text), dtype=">u4").astype(np.uint64) << np.uint64(32 - _BITS)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated share of both documents' shingles that both have."""
+    both = shared(a, b)
+    every = len(a) + len(b) - both
+    return both / every if every else 1.0
 
 
 def containment(part: np.ndarray, whole: np.ndarray) -> float:
-    """Estimated share of the part's shingles that the whole has; 0 for a part without kept hashes."""
-    return len(np.intersect1d(part, whole, assume_unique=True)) / len(part) if len(part) else 0.0
+    """Estimated share of the part's shingles that the whole has; an empty part is contained."""
+    return shared(part, whole) / len(part) if len(part) else 1.0
+
+
+def sketch_of(text: str) -> np.ndarray:
+    return kept(shingle_hashes(code_points(text)))
 
 
 def edited(text: str, following: str) -> str:
@@ -97,67 +113,84 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """doc_id and text dealt by ranges of doc_id and sorted by __range, __copy, doc_id and text.
+def _above(cuts: list[int], key: Column) -> Column:
+    """How many of the sorted cuts are not above the key, by halving steps."""
+    at = F.array(*[F.lit(c) for c in cuts])
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    beyond = lambda lo, s: (lo + s <= len(cuts)) & F.coalesce(F.get(at, lo + s - 1) <= key, F.lit(False))
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when(beyond(lo, s), lo + s).otherwise(lo)) if cuts else F.lit(0)
+
+
+def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """doc_id and text dealt by ranges of doc_id and sorted by __range, __copy, doc_id, text hash and text.
 
     At the end of every range stands a copy (__copy) of the first rows of the next one, at the end of
-    the last range of the first one. Only ids are read to set the ranges, of which the driver gets
-    bounds and first ids. Texts move once.
+    the last range of the first one. The number of ranges follows from the table's characters; an id
+    (or null) that fills several ranges is split among them by text hash. The driver gets the ranges'
+    bounds and first rows. Texts move once.
     """
     spark = docs.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = np.array(sorted(set(found)), dtype=np.int64)
-
-    def ranges(ids: pd.Series) -> np.ndarray:
-        return np.where(ids.isna(), 0, np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="right")).astype(np.int32)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(ranges(ids))
-
-    heads = docs.groupBy(range_of("doc_id").alias("r")).agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("nulls")).collect()
-    order = sorted((h["r"], None if h["nulls"] else h["first"]) for h in heads)
-    before = {first: order[i - 1][0] for i, (_, first) in enumerate(order)}
-
-    @F.pandas_udf("struct<r:int,to:int>")
-    def dealt(ids: pd.Series) -> pd.DataFrame:
-        to = [before.get(None if x is None or x != x else int(x), -1) for x in ids.astype(object)]
-        return pd.DataFrame({"r": ranges(ids), "to": np.array(to, dtype=np.int32)})
-
-    own, copy = F.struct(F.col("__d.r").alias("r"), F.lit(False).alias("c")), F.struct(F.col("__d.to").alias("r"), F.lit(True).alias("c"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), dealt("doc_id").alias("__d"))
-    rows = rows.withColumn("__at", F.explode(F.filter(F.array(own, copy), lambda x: x["r"] >= 0)))
-    rows = rows.select("doc_id", "text", F.col("__at.r").alias("__range"), F.col("__at.c").alias("__copy"))
-    rows = rows.repartitionById(len(cuts) + 1, "__range")
-    return rows.sortWithinPartitions("__range", "__copy", F.col("doc_id").asc_nulls_first(), "text")
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Every document's fingerprint, its edited text's, and the likenesses to that and the next one's."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    n = max(-(-(size["n"] or 0) // range_chars), int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or []
+    # a bound that comes k times over is the id of a group that takes up k ranges or so
+    times: dict[int, int] = {}
+    for x in found:
+        times[x] = times.get(x, 0) + 1
+    cuts = sorted({x + i for x, k in times.items() for i in ((0, 1) if k > 1 else (0,))})
+    wide = {x: k for x, k in times.items() if k > 1}
+    parts = -(-size["nulls"] * n // max(size["rows"], 1))
+    names: dict[tuple[int, int], int] = {}  # (-1, part) for nulls, (place among the cuts, part) for ids, in order
+    for place in range(-1, len(cuts) + 1):
+        k = max(parts, 1) if place < 0 else wide.get(cuts[place - 1], 1) if place else 1
+        for part in range(k):
+            names[place, part] = len(names)
+    firsts = [names[place, 0] for place in range(-1, len(cuts) + 1)] + [len(names)]
+    offset = F.get(F.array(*[F.lit(x) for x in firsts]), F.col("__place") + 1)
+    count = F.get(F.array(*[F.lit(b - a) for a, b in zip(firsts, firsts[1:], strict=False)]), F.col("__place") + 1)
+    part = F.floor((F.shiftrightunsigned(F.col("__h").bitwiseXOR(F.lit(-(1 << 63))), 33)) * count / F.lit(1 << 31)).cast("int")
+    rows = rows.withColumn("__place", F.when(F.col("doc_id").isNull(), -1).otherwise(_above(cuts, F.col("doc_id"))))
+    rows = rows.withColumn("__range", offset + part).drop("__place")
+    heads = rows.groupBy("__range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "__h")).alias("first")).collect()
+    order = sorted((h["__range"], h["first"]["doc_id"], h["first"]["__h"]) for h in heads)
+    before = [(order[i - 1][0], key, h) for i, (_, key, h) in enumerate(order)]
+    to = spark.createDataFrame(before or [(0, None, 0)], "__to int, __key long, __first long")
+    # a row for each range; what has no range before it gets no copy
+    rows = rows.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__first")), "left")
+    own, copy = F.struct(F.col("__range").alias("r"), F.lit(False).alias("c")), F.struct(F.col("__to").alias("r"), F.lit(True).alias("c"))
+    rows = rows.withColumn("__at", F.explode(F.filter(F.array(own, copy), lambda x: x["r"].isNotNull())))
+    rows = rows.select("doc_id", "text", "__h", F.col("__at.r").alias("__range"), F.col("__at.c").alias("__copy"))
+    rows = rows.repartitionById(len(names), "__range")
+    return rows.sortWithinPartitions("__range", "__copy", F.col("doc_id").asc_nulls_first(), "__h", "text")
+
+
+def fingerprints(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """Every document's fingerprint, its edited text's, their likenesses and containments: contained_*
+    is the share of the document's own sketch that the edited text's, or the next document's, has."""
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # id, text and sketch of the row whose next is awaited
         for batch in batches:
             out: list[tuple] = []
-            for key, text, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__copy")), strict=True):
+            for key, text, copy in zip(*(batch.column(c) for c in ("doc_id", "text", "__copy")), strict=True):
+                key, text, copy = key.as_py(), text.as_py(), copy.as_py()
                 if last is None and copy:
                     continue  # only the first copy is the next row of a range
-                sketch = Sketch(text)
+                sketch = sketch_of(text)
                 if last is not None:
                     own_id, own_text, own = last
                     changed = edited(own_text, text)
-                    other = Sketch(changed)
+                    other = sketch_of(changed)
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((own_id, own.n, sha, own.text(), other.text(), own.likeness(other), own.likeness(sketch)))
+                    out.append((own_id, len(own_text), sha, fingerprint(own), fingerprint(other), likeness(own, other), likeness(own, sketch), containment(own, other), containment(own, sketch)))
                 last = None if copy else (key, text, sketch)
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in names[2:5]], *[(n, pa.float64()) for n in names[5:]]])
-    return with_next(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+    kinds = "doc_id long, n_chars long, " + ", ".join([f"{n} string" for n in names[2:5]] + [f"{n} double" for n in names[5:]])
+    return with_next(docs.select(F.col("doc_id").cast("long"), "text"), range_chars).mapInArrow(run, kinds)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
