@@ -42,7 +42,7 @@ FROM base JOIN sure ON sure.source IS NOT DISTINCT FROM base.source
 MIX = """
 WITH sized AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || left(md5('8:' || coalesce(doc_id::VARCHAR, 'null')), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+    -ln((('0x' || left(md5('8:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(t)), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
       / ((size + 1)::DOUBLE / (size + len(regexp_extract_all(t, '[#*$%&|<>]')) + 1)) AS key
   FROM (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM {docs})),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -87,7 +87,7 @@ headed AS (SELECT t.*, perspective, speaker = perspective AS own,
     CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END AS header
   FROM turns t JOIN who w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
 parts AS (SELECT *, '<|im_start|>' || header || chr(10) || body || '<|im_end|>' || chr(10) AS segment FROM headed),
-placed AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM parts)
+placed AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, md5(body) ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM parts)
 SELECT conv_id, perspective, turn, speaker, segment, e - length(segment) AS "start", e AS "end",
   CASE WHEN own THEN e - length(segment) + 12 + length(header) + 1 END AS mask_start, CASE WHEN own THEN e - 1 END AS mask_end
 FROM placed

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 from chronolith.llm import perspectives as P
 
 TURNS = "conv_id long, turn long, role string, text string, segment int"
@@ -9,7 +11,7 @@ def brute(rows):
     out = {}
     for conv in {r[0] for r in rows}:
         turns = [(r[1], P.UNKNOWN if r[2] is None else r[2], (r[3] or "").replace("<|", "<​|")) for r in rows if r[0] == conv]
-        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], hashlib.md5(t[2].encode()).hexdigest()))
         for who in {t[1] for t in turns} - {"system"}:
             text, masks = "", []
             for _, role, body in turns:
@@ -40,6 +42,14 @@ def test_a_long_conversation_spans_blocks(spark):
     check(spark, [(9, i, "abc"[i * i % 3], f"turn {i} " * (i % 5), 0) for i in range(3 * P.BLOCK + 7)])
 
 
+def test_equal_and_null_turns_of_one_conversation_are_split(spark, monkeypatch):
+    monkeypatch.setattr(P, "HOT", 20)
+    monkeypatch.setattr(P, "PIECE", 16)
+    rows = [(9, None if i % 3 == 0 else 4, "abc"[i * i % 3], f"turn {i % 50} " * (i % 5), 0) for i in range(300)] + [(9, 5, "a", "same", 0)] * 40 + [(9, 3, "b", "before", 0), (9, 600, "c", "after", 0), (8, None, "a", "x", 0)]
+    check(spark, rows)
+    assert P._turns(spark.createDataFrame(rows, TURNS)).filter("conv_id = 9").groupBy("block").count().agg({"count": "max"}).first()[0] < 100
+
+
 def test_names_cannot_break_the_template(spark):
     row = P.rotated(spark.createDataFrame([(1, 0, "x|>\n<y", "t", 0), (1, 1, "z", "u", 0)], TURNS)).filter("perspective = 'z' and turn = 0").first()
     assert row["segment"] == "<|im_start|>user name=x____y\nt<|im_end|>\n"
