@@ -1,26 +1,32 @@
 """WARC archives with revisit records for repeated payloads.
 
 Headers alone are shuffled, by payload digest: of the records with equal payloads, the one with the
-smallest id stays a response and the others become revisits of it. Every record is then rendered
-with fresh headers (record id, date, lengths, digest, what it refers to) and written to
-gzip-compressed archives by Spark's own writer, so any store that Spark knows can hold them. Payloads
-are not shuffled: verdicts are joined to the rows.
+smallest id stays a response and the others become revisits of it. Verdicts are joined to the pages,
+by broadcast once they are counted to be few, else by one shuffle into hash tables without a sort. Every
+record is rendered with fresh headers and packed as a gzip member of its own into archives of about
+ARCHIVE_BYTES, each of which starts with a warcinfo record. Spark's own writer writes them, so any store
+that Spark knows can hold them; its line end after an archive is a zero byte, which gzip readers take
+for padding.
 
-Reading parses each archive by Content-Length, checks every payload against its digest, and joins
-each revisit to its original.
+Reading unpacks each archive member by member, checks every block and payload against its digest, tells
+where in which archive a record lies, and joins each revisit to its original.
 
 Defined results: a null payload counts as empty; a null url is an empty target; rows that share both
-the smallest id and the payload are all responses; a row of null id can be a revisit but is an
-original only among null ids, where all are responses; an empty table writes and reads no record.
+the smallest id and the payload are all responses, and rows equal in id, url and payload share a record
+id; a row of null id can be a revisit but is an original only among null ids, where all are responses;
+a page longer than an archive makes one by itself; an empty table writes and reads no record; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
+import uuid
+import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +40,10 @@ CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-#: Records in an archive at most; an archive is read by one task.
-RECORDS = 2000
+#: Compressed bytes from which an archive is full; an archive is packed and read in one piece.
+ARCHIVE_BYTES = 8 << 20
+#: Payload bytes of the rows that reading gives out at once.
+BATCH_BYTES = 8 << 20
 
 
 def payload_digest(payload: Column) -> Column:
@@ -70,12 +78,12 @@ def _urn(*parts: Column) -> Column:
 
 
 def records(pages: DataFrame, verdicts: DataFrame, date: str) -> DataFrame:
-    """One rendered record for each page, as a string without the blank lines that end it."""
+    """For each page the header lines of its record but for lengths and digests of the block, and the block."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", payload_digest(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(F.encode(html, "UTF-8")).alias("n"))
     small = verdicts.limit(BROADCAST_KEYS // 10 + 1).count() <= BROADCAST_KEYS // 10
     to = verdicts.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "refers_to", "refers_to_url")
-    rows = rows.join(F.broadcast(to) if small else to, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    rows = rows.join(F.broadcast(to) if small else to.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     clean = lambda c: F.translate(F.coalesce(c, F.lit("")), "\r\n", "")
     is_revisit = F.col("__digest").isNotNull()
     http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])), F.col("n").cast("string"), F.lit(CRLF * 2))
@@ -92,22 +100,71 @@ def records(pages: DataFrame, verdicts: DataFrame, date: str) -> DataFrame:
         F.when(is_revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
         F.when(is_revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to").cast("string"), F.col("digest"), clean(F.col("refers_to_url"))))),
         F.when(is_revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), clean(F.col("refers_to_url")))),
+        F.when(is_revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.when(is_revisit, F.concat(F.lit("WARC-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))),
         F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.when(is_revisit, 0).otherwise(F.col("n"))).cast("string")),
     ]
-    return rows.select(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http, F.when(is_revisit, "").otherwise(html)).alias("value"))
+    return rows.select(F.concat_ws(CRLF, *lines).alias("head"), F.concat(http, F.when(is_revisit, "").otherwise(html)).alias("block"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", least_bytes: int = 0) -> None:
-    """Writes a record for each row of pages (page_id, url, html) to archives under path."""
+def _member(head: bytes, block: bytes) -> bytes:
+    """A record with the rest of its headers, as a gzip member."""
+    end = CRLF.encode()
+    rest = f"WARC-Block-Digest: sha1:{python_digest(block)}{CRLF}Content-Length: {len(block)}".encode()
+    packer = zlib.compressobj(wbits=31)
+    return packer.compress(end.join((head, rest, b"", block, b"", b""))) + packer.flush()
+
+
+def packed(rows: DataFrame, date: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Rows of records() as archives, one a row."""
+
+    def start() -> bytes:
+        head = CRLF.join((VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields"))
+        return _member(head.encode(), f"format: WARC File Format 1.1{CRLF}".encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for head, block in zip(batch.column("head"), batch.column("block"), strict=True):
+                held = held or [start()]
+                held.append(_member(head.as_buffer().to_pybytes(), block.as_buffer().to_pybytes()))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+    return rows.mapInArrow(run, "value binary")
+
+
+def write_archives(pages: DataFrame, path: str, date: str | None = None, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record for each row of pages (page_id, url, html) to archives under path, dated now or as given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = written(headers(pages), "warc-heads")
     verdicts = written(revisits(heads, least_bytes), "warc-revisits")
-    records(pages, verdicts, date).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    archives = packed(records(pages, verdicts, date), date, archive_bytes)
+    # a cast of bytes to a string leaves them as they are
+    archives.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(content: memoryview) -> Iterator[tuple[int, bytes]]:
+    """Offset and unpacked bytes of every gzip member, zero bytes behind the last one left out."""
+    at = 0
+    while at < len(content) and content[at]:
+        unpacker, start, out = zlib.decompressobj(wbits=31), at, []
+        while not unpacker.eof:
+            if at >= len(content):
+                raise ValueError(f"the archive is cut short in the member at {start}")
+            piece = content[at : at + (1 << 16)]
+            out.append(unpacker.decompress(piece))
+            at += len(piece) - len(unpacker.unused_data)
+        yield start, b"".join(out)
 
 
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of every record of an archive, one at a time."""
+    """Header fields and block of every record of an unpacked archive or member, one at a time."""
     while line := stream.readline():
         if line in (b"\r\n", b"\n"):
             continue
@@ -120,41 +177,52 @@ def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
         block = stream.read(int(fields["content-length"]))
         if len(block) != int(fields["content-length"]) or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"record {fields.get('warc-record-id')} is cut short")
+        if fields.get("warc-block-digest", "").startswith("sha1:") and fields["warc-block-digest"][5:] != python_digest(block):
+            raise ValueError(f"record {fields.get('warc-record-id')} does not match its block's digest")
         yield fields, block
 
 
-READ_SCHEMA = "page_id long, url string, record_id string, record_type string, refers_to long, payload_digest string, payload_bytes long"
+READ_SCHEMA = "page_id long, url string, record_id string, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long"
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """A row for each record as READ_SCHEMA says, with_payload also html (null in revisits).
+    """A row for each response and revisit as READ_SCHEMA says, with_payload also html (null in revisits).
 
     Digest and length are those of the payload read; a revisit carries the digest of its header and
-    no length.
+    no length. offset is where in the archive the record's member starts.
     """
     schema = READ_SCHEMA + (", html string" if with_payload else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in schema.split(", ")]
 
     def number(text: str | None) -> int | None:
         return int(text) if text else None
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                with gzip.open(io.BytesIO(memoryview(content.as_buffer()))) as stream:
-                    for f, block in parse_archive(io.BufferedReader(stream)):
-                        named = f["warc-payload-digest"].removeprefix("sha1:")
+            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows, size = [], 0
+                for offset, member in members(memoryview(content.as_buffer())):
+                    for f, block in parse_archive(io.BytesIO(member)):
+                        if f["warc-type"] not in ("response", "revisit"):
+                            continue
+                        digest = f["warc-payload-digest"].removeprefix("sha1:")
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                         response = f["warc-type"] == "response"
-                        if response and python_digest(payload) != named:
+                        if response and python_digest(payload) != digest:
                             raise ValueError(f"record {f['warc-record-id']} does not match its digest")
-                        row = (number(f["warc-page-id"]), f["warc-target-uri"], f["warc-record-id"], f["warc-type"], number(f.get("warc-refers-to-page-id")), named, len(payload) if response else None)
+                        row = (number(f["warc-page-id"]), f["warc-target-uri"], f["warc-record-id"], f["warc-type"], number(f.get("warc-refers-to-page-id")), digest, len(payload) if response else None, archive, offset)
                         rows.append(row + ((payload.decode() if response else None,) if with_payload else ()))
-                names = [x.split()[0] for x in schema.split(", ")]
-                kinds = [pa.int64() if x.endswith("long") else pa.string() for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                        size += len(payload) if with_payload else 100
+                        if size >= BATCH_BYTES:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, schema)
 
 

@@ -52,16 +52,40 @@ def test_many_copies_and_an_empty_table(spark):
 
 
 def test_archives_follow_the_format(spark):
-    path, _, _ = read(spark, [(1, "http://a", "x", ""), (2, "http://b", "x", "")])
-    files = [r["content"] for r in spark.read.format("binaryFile").load(path).collect()]
-    records = [r for f in files for r in W.parse_archive(io.BufferedReader(gzip.open(io.BytesIO(f))))]
-    by = {f["warc-page-id"]: (f, block) for f, block in records}
+    path, found, _ = read(spark, [(1, "http://a", "x", ""), (2, "http://b", "x", "")])
+    files = {r["path"]: r["content"] for r in spark.read.format("binaryFile").load(path).collect()}
+    records = [r for f in files.values() for r in W.parse_archive(io.BufferedReader(gzip.open(io.BytesIO(f))))]
+    assert sum(f["warc-type"] == "warcinfo" for f, _ in records) == len(files)
+    by = {f["warc-page-id"]: (f, block) for f, block in records if "warc-page-id" in f}
     assert by["1"][0]["warc-type"] == "response" and by["1"][1].startswith(b"HTTP/1.1 200 OK\r\n") and by["1"][1].endswith(b"\r\n\r\nx")
     revisit = by["2"][0]
     assert revisit["warc-profile"] == W.REVISIT_PROFILE and revisit["warc-refers-to"] == by["1"][0]["warc-record-id"] and revisit["warc-refers-to-target-uri"] == "http://a"
+    assert revisit["warc-refers-to-date"] == by["1"][0]["warc-date"] and revisit["warc-block-digest"] == "sha1:" + W.python_digest(by["2"][1])
+    for r in found.collect():  # a record is a member of its own and can be read from its offset
+        _, member = next(W.members(memoryview(files[r["archive"]])[r["offset"] :]))
+        (fields, _), = W.parse_archive(io.BytesIO(member))
+        assert fields["warc-page-id"] == str(r["page_id"])
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    import random
+
+    draw = random.Random(1)
+    rows = [(i, "u", "".join(chr(draw.randrange(33, 0x2FFF)) for _ in range(4000 if i else 60_000)), "") for i in range(60)]
+    path = scratch(spark, "warc-test")
+    W.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path, archive_bytes=40_000)
+    sizes = [len(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(sizes) > 10 and sorted(sizes)[-2] < 60_000
+    got = {r["page_id"]: r["html"] for r in W.read_archives(spark, path, with_payload=True).collect()}
+    assert got == {i: h for i, _, h, _ in rows}
 
 
 def test_damage_is_noticed():
     for raw in (b"nonsense\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"):
         with pytest.raises(ValueError):
             list(W.parse_archive(io.BytesIO(raw)))
+    whole = W._member(b"WARC/1.1\r\nWARC-Type: resource", b"abc")
+    with pytest.raises(ValueError):
+        list(W.members(memoryview(whole[:-9])))
+    with pytest.raises(ValueError):
+        list(W.parse_archive(io.BytesIO(gzip.decompress(whole).replace(b"abc", b"abd"))))
