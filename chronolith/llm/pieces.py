@@ -12,7 +12,8 @@ larger values prefer frequent pieces.
 
 Words: no piece goes on past a blank that follows another character, so the lattice falls apart
 there; equal words of a batch share one forward pass, and a text of any length is worked off in
-windows. Characters without a piece become byte pieces. Blanks are written as U+2581, and a U+2581 of
+windows. Words of more than LONG characters, which may fill many windows, keep the forward sums alone and
+look their arcs up window by window, once on the way there and once on the way back. Characters without a piece become byte pieces. Blanks are written as U+2581, and a U+2581 of
 the text itself always goes by bytes, so decoding gives back every text exactly.
 
 Defined results: a null text stays null (its pieces are null, it counts as lossless); an empty text
@@ -23,6 +24,8 @@ table gives no rows; other columns pass unread.
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,8 +44,10 @@ BLANK = 0x2581
 LITERAL = 0x110000
 #: Code points worked on at once.
 WINDOW = 1 << 18
-#: Words up to this length are filtered together, longer ones one by one in logarithms.
+#: Words up to this length are filtered together, longer ones one by one.
 SHORT = 48
+#: Words beyond this length are sampled by themselves, in windows.
+LONG = 4096
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = 20
@@ -118,6 +123,95 @@ def uniform(seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (mixed(mixed(seeds + places.astype(np.uint64) * _R)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def _arc_table(m: Model, x: np.ndarray, source: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """[n - 1, i]: the piece of n code points that starts at x[source[i]], whose word has left[i] more, or -1."""
+    values = mixed(x.astype(np.uint64) + np.uint64(1))
+    power = np.cumprod(np.full(len(x), _R), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power, dtype=np.uint64)))
+    back = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(x), _R_INV), dtype=np.uint64)))
+    arcs = np.full((m.longest, len(source)), -1, dtype=np.int32)
+    for n in range(1, m.longest + 1):
+        if n in m.keys:
+            at = np.flatnonzero(left >= n)
+            s = source[at]
+            keys = mixed((sums[s + n] - sums[s]) * back[s])
+            hit = m.maybe[n][keys >> np.uint64(64 - _TABLE)]
+            at, keys = at[hit], keys[hit]
+            found = np.minimum(np.searchsorted(m.keys[n], keys), len(m.keys[n]) - 1)
+            same = m.keys[n][found] == keys
+            arcs[n - 1, at[same]] = m.ids[n][found[same]]
+    # characters without a piece: by their number of bytes
+    bare = np.flatnonzero((left >= 1) & (arcs[0] < 0))
+    points = np.where(x[source[bare]] == LITERAL, BLANK, x[source[bare]])
+    arcs[0, bare] = m.size + 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    return arcs
+
+
+class _Forward:
+    """Forward sums of one word, place by place: what is pushed on is kept for the next `longest` places."""
+
+    def __init__(self, m: Model):
+        self.m, self.ahead, self.off = m, [1.0] + [0.0] * m.longest, 0.0
+
+    def add(self, arcs: np.ndarray) -> list[float]:
+        """The logarithms of the sums at the places where these arcs start."""
+        at, n = np.nonzero(arcs.T >= 0)
+        weights = np.exp(self.m.log_w)[arcs[n, at]].tolist()
+        n, ends = (n + 1).tolist(), np.searchsorted(at, np.arange(arcs.shape[1]), side="right").tolist()
+        out, ahead, first = [], self.ahead, 0
+        for last in ends:
+            here = ahead.pop(0)
+            if not 1e-100 < here < 1e100:
+                self.off += math.log(here)
+                ahead = [x / here for x in ahead]
+                here = 1.0
+            out.append(math.log(here) + self.off)
+            ahead.append(0.0)
+            for k in range(first, last):
+                ahead[n[k] - 1] += here * weights[k]
+            first = last
+        self.ahead = ahead
+        return out
+
+    def end(self) -> float:
+        return math.log(self.ahead[0]) + self.off
+
+
+def _sample_long(m: Model, x: np.ndarray, seed: np.uint64, first: int) -> np.ndarray:
+    """_sample for one word, whose first code point is the text's code point `first`."""
+    length = len(x)
+    sums, forward = np.empty(length + 1), _Forward(m)
+
+    def arcs_of(lo: int, hi: int) -> np.ndarray:
+        return _arc_table(m, x[lo : hi + m.longest], np.arange(hi - lo), length - np.arange(lo, hi))
+
+    for lo in range(0, length, WINDOW):
+        hi = min(lo + WINDOW, length)
+        sums[lo:hi] = forward.add(arcs_of(lo, hi))
+    sums[length] = forward.end()
+    out, at = np.full(length, -1, dtype=np.int32), length
+    while at > 0:
+        # arcs that end in (lo, hi], of which none starts before lo - longest
+        hi, lo = at, max(at - WINDOW, 0)
+        begin = max(lo - m.longest, 0)
+        arcs = arcs_of(begin, hi)
+        u = uniform(np.full(hi - begin, seed), np.arange(first + begin, first + hi)).tolist()
+        log_p = np.where(arcs >= 0, m.log_w[arcs] + sums[begin:hi], -np.inf).T.tolist()
+        whole, arcs = sums[begin : hi + 1].tolist(), arcs.T.tolist()
+        while at > lo:
+            j, spent, picked, chosen = at - begin, 0.0, -1, 0
+            for n in range(1, min(m.longest, at) + 1):
+                piece = arcs[j - n][n - 1]
+                if piece >= 0:
+                    spent += math.exp(log_p[j - n][n - 1] - whole[j])
+                    picked, chosen = piece, n  # the last arc stands where rounding leaves a rest
+                    if u[j - 1] < spent:
+                        break
+            at -= chosen
+            out[at] = picked
+    return out
+
+
 class _Words:
     """The distinct words of a window, their arcs and forward sums."""
 
@@ -141,21 +235,7 @@ class _Words:
         source = np.repeat(starts[first], self.length + 1) + inside
         left = np.repeat(self.length, self.length + 1) - inside  # code points from here to the word's end
         #: arcs[n - 1][p]: the piece of n code points that starts at p, or -1
-        self.arcs = np.full((m.longest, total), -1, dtype=np.int32)
-        for n in range(1, m.longest + 1):
-            if n in m.keys:
-                at = np.flatnonzero(left >= n)
-                s = source[at]
-                keys = mixed((sums[s + n] - sums[s]) * back[s])
-                hit = m.maybe[n][keys >> np.uint64(64 - _TABLE)]
-                at, keys = at[hit], keys[hit]
-                found = np.minimum(np.searchsorted(m.keys[n], keys), len(m.keys[n]) - 1)
-                same = m.keys[n][found] == keys
-                self.arcs[n - 1, at[same]] = m.ids[n][found[same]]
-        # characters without a piece: by their number of bytes
-        bare = np.flatnonzero((left >= 1) & (self.arcs[0] < 0))
-        points = np.where(x[source[bare]] == LITERAL, BLANK, x[source[bare]])
-        self.arcs[0, bare] = m.size + 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        self.arcs = _arc_table(m, x, np.minimum(source, len(x) - 1), left)
         self.sums = np.full(total, -np.inf)
         self._filter(m)
 
@@ -178,16 +258,9 @@ class _Words:
         inside = np.arange(total) - np.repeat(self.base[:short], self.length[:short] + 1)
         self.sums[:total] = np.log(paths) - np.log(scale) * inside
         for base, length in zip(self.base[self.length > SHORT], self.length[self.length > SHORT], strict=True):
-            s = self.sums[base : base + length + 1]
-            s[0] = 0.0
-            span = np.arange(1, m.longest + 1)
-            for j in range(1, length + 1):
-                n = span[:j]
-                arc = self.arcs[n - 1, base + j - n]
-                n, arc = n[arc >= 0], arc[arc >= 0]
-                v = s[j - n] + m.log_w[arc]
-                top = v.max()
-                s[j] = top + np.log(np.exp(v - top).sum())
+            forward = _Forward(m)
+            self.sums[base : base + length] = forward.add(self.arcs[:, base : base + length])
+            self.sums[base + length] = forward.end()
 
 
 def _sample(m: Model, x: np.ndarray, seeds: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -252,12 +325,25 @@ def encode(texts: list[str | None], keys: list, m: Model, seed: int = 0) -> list
             continue
         x, s = lattice_points(text), row_seed(key, seed)
         starts = word_starts(x)
+        long = np.flatnonzero(np.diff(starts, append=len(x)) > LONG)
+        bounds = {int(starts[k]): int(starts[k + 1]) if k + 1 < len(starts) else len(x) for k in long}
+        begins = sorted(bounds)
         lo = 0
         while lo < len(x):
-            hi = len(x)
+            if lo in bounds:
+                hi = bounds[lo]
+                own = _sample_long(m, x[lo:hi], s, lo)
+                at = np.flatnonzero(own >= 0)
+                flush()
+                size = 0
+                parts[i].append(_with_bytes(own[at], x[lo:hi][at], m))
+                lo = hi
+                continue
+            k = bisect_left(begins, lo)
+            hi = begins[k] if k < len(begins) else len(x)
             if hi - lo > WINDOW:  # at the last word start inside the window, or the first beyond
                 k = np.searchsorted(starts, lo + WINDOW, side="right") - 1
-                hi = int(starts[k]) if starts[k] > lo else int(starts[k + 1]) if k + 1 < len(starts) else len(x)
+                hi = int(starts[k]) if starts[k] > lo else min(hi, int(starts[k + 1])) if k + 1 < len(starts) else hi
             own = starts[(starts >= lo) & (starts < hi)] - lo
             held.append((i, x[lo:hi], np.full(hi - lo, s), np.arange(lo, hi), own))
             size, lo = size + hi - lo, hi

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -73,3 +74,26 @@ def test_rows(spark, messy, messy_rows, nothing):
     back = P.decoded(P.encoded(messy)).collect()
     assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r[0], r[1]) for r in messy_rows)
     assert P.encoded(nothing).collect() == []
+
+
+def test_long_words_are_sampled_as_short_ones_are(monkeypatch):
+    m = P.model()
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abcdeilmnorst\u00e9\u4e2d\U0001f600") for _ in range(n)) for n in (30, 49, 700, 3000)]
+    text = f"start {' '.join(words)}  end\u2581x {words[2]}"
+    whole = P.encode([text, None, words[3]], [1, 2, 3], m)
+    monkeypatch.setattr(P, "LONG", 40)
+    for window in (1 << 18, 100, 17):
+        monkeypatch.setattr(P, "WINDOW", window)
+        cut = P.encode([text, None, words[3]], [1, 2, 3], m)
+        assert [None if x is None else x.tolist() for x in cut] == [None if x is None else x.tolist() for x in whole], window
+        assert P.decode(cut[0], m) == text
+
+
+def test_a_word_of_many_characters_is_quick_and_lossless():
+    import time
+
+    text = "".join(random.Random(3).choice("abcdefghij") for _ in range(200_000))
+    began = time.perf_counter()
+    ids, = P.encode([text], [1], P.model())
+    assert P.decode(ids, P.model()) == text and time.perf_counter() - began < 20
