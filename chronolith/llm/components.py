@@ -2,7 +2,7 @@
 
 Each round moves every node's neighbours to the smallest node that it sees, so hubs are never
 gathered: a hub's rows take part in a count-like aggregate and in a join that adaptive execution can
-split. Every round is written to the shared folder, which cuts lineage.
+split. Every round is written to the shared folder, which cuts lineage, and deletes the one before.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _towards_least(pairs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _towards_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _towards_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        last, now = now, written(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        dropped(last)
         row = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(row) == state:
             break

@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import BROADCAST_KEYS, table, written
+from .common import BROADCAST_KEYS, dropped, table, written
 from .components import connected_components
 from .fingerprints import mixed
 
 #: MinHash samples of a class, bits of its odd sketch, and the chance of missing a link.
 SAMPLES, BITS, MISS = 256, 1024, 1e-6
-#: Classes in a block of a bucket.
-BLOCK = 512
+#: Classes in a block of a bucket, and shingles: what is held at once follows from both.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONGS = BITS // 64
 
@@ -169,65 +169,74 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.join(wanted, same).select("node", "text").mapInArrow(run, "node long, items binary")
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, proposals: DataFrame, p: Plan) -> DataFrame:
+def _blocks(classes: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(classes / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def confirmed(docs: DataFrame, reps: DataFrame, proposals: DataFrame, p: Plan, trash: list[DataFrame]) -> DataFrame:
     """The links (a, b) among proposals, tested on full sets.
 
-    proposals have gid, node and others: the nodes to test with node, or null where the row only says
-    that the group gid needs node's set. A group's sets meet in one task; callers bound its size.
+    proposals have gid, node, others and passing. Where others is null, the task of group gid holds
+    node's set; else node is tested against others, which are held. The set of a passing node comes with
+    its row and goes with it; any other node is held too. Callers bound what a group holds. What is
+    written and must stay until the links are is added to trash.
     """
     proposals = written(proposals, "proposals")
-    needs = proposals.filter("others is null").select("gid", "node").distinct()
-    nodes = needs.select("node").distinct()
-    wanted = written(reps.select("node", "doc_id", "text_hash").join(nodes, "node", "left_semi"), "wanted")
+    wanted = written(reps.select("node", "doc_id", "text_hash").join(proposals.filter("others is null or passing").select("node").distinct(), "node", "left_semi"), "wanted")
+    trash += [proposals, wanted]
     sets = _set_rows(docs, wanted, p.words)
-    shipped = needs.join(sets, "node").select("gid", "node", "items", F.lit(None).cast("array<long>").alias("others"))
-    asked = proposals.filter("others is not null").select("gid", "node", F.lit(None).cast("binary").alias("items"), "others")
+    shipped = proposals.filter("others is null or passing").select("gid", F.col("node").alias("__node"), "others").join(sets, F.col("node") == F.col("__node"))
+    asked = proposals.filter("others is not null and not passing").select("gid", "node", F.lit(None).cast("binary").alias("items"), "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, sets = None, {}
+        gid, held = None, {}
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for g, node, items, others in zip(*(batch.column(c).to_pylist() for c in ("gid", "node", "items", "others")), strict=True):
+            for g, node, items, others in zip(batch.column("gid").to_pylist(), batch.column("node").to_pylist(), batch.column("items"), batch.column("others"), strict=True):
                 if g != gid:
-                    gid, sets = g, {}
-                if items is not None:
-                    sets[node] = np.frombuffer(items, dtype=np.uint64)
+                    gid, held = g, {}
+                own = np.frombuffer(items.as_buffer(), dtype=np.uint64) if items.is_valid else held[node]
+                if not others.is_valid:
+                    held[node] = own.copy()
                     continue
-                for other in others:
-                    x, y = sets[node], sets[other]
+                for other in others.as_py():
+                    x, y = own, held[other]
                     both = len(x) + len(y)
                     shared = both - len(np.unique(np.concatenate((x, y)))) if 100 * min(len(x), len(y)) >= p.percent * max(len(x), len(y)) else 0
                     if 100 * shared >= p.percent * (both - shared):
                         out.append((min(node, other), max(node, other)))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    rows = shipped.unionByName(asked).repartition("gid").sortWithinPartitions("gid", F.col("items").isNull())
+    rows = shipped.select("gid", "node", "items", "others").unionByName(asked).repartition("gid").sortWithinPartitions("gid", F.col("others").isNotNull())
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _stars(reps: DataFrame, members: DataFrame, p: Plan) -> DataFrame:
-    """Proposals of every member with its bucket's two pivots, as far as the sketches allow them."""
+def _stars(reps: DataFrame, members: DataFrame, p: Plan, trash: list[DataFrame]) -> DataFrame:
+    """Proposals of every member with its bucket's two pivots, as far as the sketches allow them. A
+    group holds one pivot; members pass by it."""
     ends = F.explode(F.array_distinct(F.array("pivot_a", "pivot_b"))).alias("p")
     pairs = members.select("node", ends).filter("node <> p").select(F.least("node", "p").alias("p"), F.greatest("node", "p").alias("x")).distinct()
-    sketch = reps.select(F.col("node").alias("__n"), "sketch")
-    pairs = pairs.join(sketch.withColumnRenamed("sketch", "__s"), F.col("p") == F.col("__n")).drop("__n")
-    pairs = pairs.join(sketch.withColumnRenamed("sketch", "__t"), F.col("x") == F.col("__n")).filter(_differing("__s", "__t") <= p.most_bits).select("p", "x")
+    sketch = reps.select(F.col("node").alias("__n"), "sketch", "n_shingles")
+    pairs = pairs.join(sketch.select("__n", F.col("sketch").alias("__s")), F.col("p") == F.col("__n")).drop("__n")
+    pairs = pairs.join(sketch.withColumnRenamed("sketch", "__t"), F.col("x") == F.col("__n")).filter(_differing("__s", "__t") <= p.most_bits).select("p", "x", "n_shingles")
     pairs = written(pairs, "stars")
-    # a pivot's group is cut into parts of BLOCK nodes or so
-    parts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).filter("parts > 1").select(F.bitwise_not("p").alias("__p"), "parts")
+    trash.append(pairs)
+    # a pivot's group is cut into parts, for several tasks to share
+    parts = pairs.groupBy("p").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts")).filter("parts > 1").select(F.bitwise_not("p").alias("__p"), "parts")
     pairs = pairs.join(parts, F.bitwise_not("p") == F.col("__p"), "left").withColumn("gid", F.xxhash64("p", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1)))))
     nothing = F.lit(None).cast("array<long>")
-    both = F.array(F.struct("gid", F.col("p").alias("node"), nothing.alias("others")), F.struct("gid", F.col("x").alias("node"), nothing.alias("others")), F.struct("gid", F.col("p").alias("node"), F.array("x").alias("others")))
-    return pairs.select(F.explode(both).alias("e")).select("e.*").distinct()
+    held = pairs.select("gid", F.col("p").alias("node"), nothing.alias("others"), F.lit(False).alias("passing")).distinct()
+    return held.unionByName(pairs.select("gid", F.col("x").alias("node"), F.array("p").alias("others"), F.lit(True).alias("passing")))
 
 
 def _completions(reps: DataFrame, members: DataFrame, found: DataFrame, p: Plan) -> DataFrame:
     """Proposals among members of a bucket that belong to different components."""
     of = found.select(F.col("node").alias("__n"), "component")
     rows = members.filter("n > 2").join(of, F.col("node") == F.col("__n"), "left").withColumn("component", F.coalesce("component", "node")).drop("__n")
-    shares = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    shares = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    shares = shares.filter("parts > 1").select(F.bitwise_not("bucket").alias("__b"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rest_blocks"), F.ceil(F.col("most") / BLOCK).cast("int").alias("main_blocks"), "main")
+    shares = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    most = F.max(F.struct("n", "component", "s"))
+    shares = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.sum("s").alias("shingles"), most.alias("most")).filter("parts > 1")
+    shares = shares.select(F.bitwise_not("bucket").alias("__b"), _blocks(F.col("all") - F.col("most.n"), F.col("shingles") - F.col("most.s")).alias("rest_blocks"), _blocks(F.col("most.n"), F.col("most.s")).alias("main_blocks"), F.col("most.component").alias("main"))
     rows = rows.join(shares, F.bitwise_not("bucket") == F.col("__b")).drop("__b", "n")
     is_main = F.col("component") == F.col("main")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.when(is_main, F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
@@ -245,12 +254,13 @@ def _completions(reps: DataFrame, members: DataFrame, found: DataFrame, p: Plan)
     traits = reps.select(F.col("node").alias("__n"), "bands", "sketch")
     rows = rows.join(traits, F.col("node") == F.col("__n")).drop("__n").repartition("gid").sortWithinPartitions("gid")
 
-    def compare(group: list[dict]) -> Iterator[tuple[int, int, list[int] | None]]:
-        node, side, part = (np.array([r[c] for r in group], dtype=np.int64) for c in ("node", "side", "component"))
-        sketch, bands = (np.array([r[c] for r in group], dtype=np.int64) for c in ("sketch", "bands"))
-        sketch = sketch.view(np.uint64)  # of signed numbers bitwise_count takes the absolute value
-        gid, band = group[0]["gid"], int(np.argmax(bands[0] == group[0]["bucket"]))
-        pivots = np.isin(node, (group[0]["pivot_a"], group[0]["pivot_b"]))  # tested as stars
+    names = ("gid", "bucket", "node", "component", "pivot_a", "pivot_b", "side")
+
+    def compare(group: dict[str, np.ndarray]) -> Iterator[tuple[int, int, list[int] | None]]:
+        node, side, part, bands = group["node"], group["side"], group["component"], group["bands"]
+        sketch = group["sketch"].view(np.uint64)  # of signed numbers bitwise_count takes the absolute value
+        gid, band = int(group["gid"][0]), int(np.argmax(bands[0] == group["bucket"][0]))
+        pivots = np.isin(node, (group["pivot_a"][0], group["pivot_b"][0]))  # tested as stars
         second, needed = np.flatnonzero(side > 0), set()
         for i in np.flatnonzero(side != 1):
             if pivots[i]:
@@ -268,21 +278,29 @@ def _completions(reps: DataFrame, members: DataFrame, found: DataFrame, p: Plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], ["gid", "node", "others"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64())), pa.array([False] * len(out), pa.bool_())], ["gid", "node", "others", "passing"])
+
+        held: list[dict[str, np.ndarray]] = []  # pieces of the group at hand
+
+        def finish() -> list[tuple]:
+            whole = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            held.clear()
+            return list(compare(whole))
 
-        group: list[dict] = []
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                if group and row["gid"] != group[0]["gid"]:
-                    out += compare(group)
-                    group = []
-                group.append(row)
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            rows |= {c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("sketch", "bands")}
+            edges = [0, *(np.flatnonzero(np.diff(rows["gid"])) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and held[0]["gid"][0] != rows["gid"][lo]:
+                    out += finish()
+                held.append({c: v[lo:hi] for c, v in rows.items()})
             yield packed(out)
-        if group:
-            yield packed(list(compare(group)))
+        if held:
+            yield packed(finish())
 
-    return rows.mapInArrow(run, "gid long, node long, others array<long>")
+    return rows.mapInArrow(run, "gid long, node long, others array<long>, passing boolean")
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -290,14 +308,16 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFram
     first row: component_id and, as stays, that row's text hash. Null ids come last."""
     p = plan(words, percent)
     sigs = written(signatures(docs, p), "signatures")
-    reps = sigs.filter("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "set_id", "r", "r.doc_id", "r.text_hash", "bands", "sketch"), "classes")
-    keys = reps.select("node", F.explode("bands").alias("bucket"))
+    reps = sigs.filter("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "set_id", "r", "r.doc_id", "r.text_hash", "bands", "sketch", "n_shingles"), "classes")
+    keys = reps.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot_a"), F.min_by("node", F.xxhash64("node", "bucket")).alias("pivot_b")).filter("n > 1")
     members = written(keys.join(buckets.withColumn("__b", F.bitwise_not("bucket")).drop("bucket"), F.bitwise_not("bucket") == F.col("__b")).drop("__b"), "members")
-    links = written(confirmed(docs, reps, _stars(reps, members, p), p), "links")
+    trash = [reps, members]
+    links = written(confirmed(docs, reps, _stars(reps, members, p, trash), p, trash), "links")
     found = written(connected_components(links), "components")
-    more = confirmed(docs, reps, _completions(reps, members, found, p), p)
+    trash += [links, found]
+    more = confirmed(docs, reps, _completions(reps, members, found, p), p, trash)
     # components are joined on: later links connect them
     at = found.select(F.col("node").alias("__n"), "component")
     more = more.join(at, F.col("a") == F.col("__n"), "left").select(F.coalesce("component", "a").alias("a"), "b")
@@ -307,6 +327,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFram
     last = joined.select(F.col("node").alias("__n"), "component")
     classes = first.join(last, F.col("node") == F.col("__n"), "left").select("set_id", "r", F.coalesce("component", "node").alias("component"))
     classes = written(classes, "class-components")
+    for df in trash:
+        dropped(df)
     ids = classes.groupBy("component").agg(F.min("r").alias("r"))
     ids = ids.select(F.bitwise_not("component").alias("__c"), F.col("r.doc_id").alias("component_id"), F.col("r.text_hash").alias("stays"))
     classes = classes.join(ids, F.bitwise_not("component") == F.col("__c")).select("set_id", "component_id", "stays")
