@@ -7,14 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calibration as C
-from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import temporal as T
 from ..operators import text as X
 from .base import AT, VERSIONS_SQL, instant, query, table, versions
 from .calibration import _LOGITS, _logits
 from .evaluation import _ITEMS, _items
-from .graph import corpus, edges
 from .localisation import _TRACE, trace
 
 _PROBS = f"{_LOGITS}, s AS (SELECT id, gold, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM l), p AS (SELECT id, gold, list_transform(e, lambda v: v / list_sum(e)) AS p FROM s)"
@@ -111,18 +109,6 @@ def e19(spark, sf):
     return spark.createDataFrame([(out[int(0.025 * 199)], out[-(-975 * 199 // 1000)])], "lo double, hi double")
 
 
-@query("g14_pointers")
-def g14(spark, sf):
-    """Each target once, at its first place in order of the citing chunk."""
-    return edges(spark).filter("target <> ''").groupBy("target").agg(F.min(F.struct("source", "pos")).alias("at")).select("target", "at.source", "at.pos")
-
-
-@query("g15_representative")
-def g15(spark, sf):
-    below = corpus(spark).select("chunk_id", F.explode(G.ancestors(F.col("chunk_id"))).alias("target"))
-    return below.groupBy("target").agg(F.min("chunk_id").alias("representative"), F.count(F.lit(1)).alias("members"))
-
-
 @query("c8_units")
 def c8(spark, sf):
     """Retrieval units: small paragraphs merge with the one before, large ones are packed by sentences, each under its source as context."""

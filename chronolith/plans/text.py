@@ -183,7 +183,7 @@ def q6(spark, sf):
 @query("q7_rewritten")
 def q7(spark, sf):
     text = F.col("text")
-    return _questions(spark).select("id", Q.rewritten(Q.stripped(F.regexp_replace(text, r"\b(?:19|20)\d{2}\b", "")), Q.stripped(text), text).alias("rewritten"))
+    return _questions(spark).select("id", Q.rewritten(Q.stripped(Q.without_dates(text, TODAY)), Q.stripped(text), text).alias("rewritten"))
 
 
 @query("q8_classified")

@@ -45,6 +45,13 @@ def test_references_by_kind():
     found = G.references("Paragraphs (2) through (4) and § 630.310(a); 5 U.S.C. 6304, this section.", "630.201", "b-6")
     assert [(r["kind"], r["targets"]) for r in found] == [("paragraph", ["630.201#b-2", "630.201#b-3", "630.201#b-4"]), ("section", ["630.310#a"]), ("usc", []), ("scope", ["630.201"])]
     assert G.references(None) == []
+    kinds = lambda t, *a: [(r["kind"], r["phrase"], r["targets"]) for r in G.references(t, *a)]
+    assert kinds("paragraph (d) of § 630.309 and § 630.310(a)", "630.1") == [("paragraph", "paragraph (d) of § 630.309", ["630.309#d"]), ("section", "§ 630.310(a)", ["630.310#a"])]
+    assert kinds("under § 6.7 of this chapter") == [("section", "§ 6.7", ["6.7"]), ("scope", "this chapter", [])]
+    assert kinds("5 U.S.C. Chapter 43, 5 CFR part 351, 5 CFR 351.403(a)(1) and 29 CFR 541.100") == [("usc", "5 U.S.C. Chapter 43", []), ("cfr", "5 CFR part 351", []), ("cfr", "5 CFR 351.403(a)(1)", ["351.403#a-1"]), ("cfr", "29 CFR 541.100", [])]
+    assert kinds("subpart B of part 351; parts 351, 630 and 752; this section", "9.9") == [("scope", "subpart B of part 351", []), ("scope", "parts 351, 630 and 752", []), ("scope", "this section", ["9.9"])]
+    assert kinds("paragraphs (a), (c), and (d) of this section", "1.1") == [("paragraph", "paragraphs (a), (c), and (d) of this section", ["1.1#a", "1.1#c", "1.1#d"])]
+    assert kinds("5 apples, § of, paragraph b, section 5") == []
 
 
 def test_expansion_keeps_to_budget_and_ends_on_cycles(spark):
@@ -73,6 +80,35 @@ def test_dates_reserve_their_characters():
     assert Q.dates_in(None, today) == []
 
 
+def test_framing_comes_off_in_layers():
+    for text, want in (("So, what is the annual leave ceiling?", "annual leave ceiling"), ("Could you please tell me about credit hours", "credit hours"), ("Am I eligible for a raise?", "raise"), ("Any rules about wearing a uniform on duty?", "wearing a uniform on duty"), ("how many sections apply to it", "sections"), ("what", "what"), ("", ""), (None, ""), ("whatever holds", "whatever holds"), ("an agency may act", "agency may act")):
+        assert Q.strip_frame(text) == want, text
+
+
+def test_questions_by_kind():
+    asked = {
+        "temporal_compare": ["What changed in the rules between 2019 and 2023?", "How has the probationary period changed since 2017?", "What is the difference between the limits?", "Rules before and after the amendment", "Compare the rules in 2018 and 2024.", "What did the rule used to say?"],
+        "absence": ["Is there any rule about equipment?", "Are there any provisions covering stipends?", "Is there anything about schedules?", "Does any regulation address commuting?", "Any rules about a uniform?"],
+        "applicability": ["Does this apply to me?", "Does the period apply to a wage grade employee?", "Am I entitled to an increase?", "Do I qualify for tenure?", "Is a term employee eligible for an increase?", "Which employees are covered by the act?"],
+        "aggregate": ["List all the parts that govern leave.", "How many sections cover probation?", "Which sections mention increases?", "What are all of the exceptions?", "Enumerate the factors."],
+        "temporal_point": ["What was the limit as of June 2021?", "At the time of the amendment, what was the rate?", "Back in 2018, how much leave could be carried over?"],
+        "lookup": ["What did the rule say in 2019?", "annual leave", "", None],
+    }
+    for kind, texts in asked.items():
+        assert [Q.classify(t)[0] for t in texts] == [kind] * len(texts), kind
+    assert Q.classify("annual leave") == ("lookup", 0.35) and Q.classify("What was the limit as of June 2021?") == ("temporal_point", 0.9)
+    assert Q.elliptical("what about it") and not Q.elliptical("annual leave ceiling rules")
+
+
+def test_conditions_and_what_they_refer_to():
+    got = lambda t: [(q["kind"], q["clause"], q["refers_to"]) for q in V.find_qualifiers(t, "630.1", "a", True)]
+    assert got("Except as provided in paragraph (b) of this section, an employee may not exceed 480 hours.") == [("except", "Except as provided in paragraph (b) of this section", ["630.1#b"]), ("bound", "may not exceed 480 hours", [])]
+    assert got("It will not cause the total to exceed 25 percent, at a time other than the end.") == [("bound", "will not cause the total to exceed 25 percent, at a time other than the end", [])]
+    assert [k for k, *_ in got("Staff other than temporary staff shall not act, provided the head agrees; records provided by staff.")] == ["other_than", "prohibition", "proviso"]
+    assert got("Each of these:") == [("chapeau", "Each of these:", [])]
+    assert V.find_qualifiers("Each of these:") == [] == V.find_qualifiers(None)
+
+
 def test_clauses_end_outside_of_brackets():
     found = V.find_qualifiers("Covered, except staff (as defined; see b) on leave; other text unless told.")
     assert [(q["kind"], q["clause"]) for q in found] == [("except", "except staff (as defined; see b) on leave"), ("unless", "unless told")]
