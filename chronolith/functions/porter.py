@@ -5,6 +5,8 @@ One stemmer serves the query side and the index side.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +40,7 @@ def _swap(w: str, table: list[tuple[str, str]]) -> str:
     return w[: -len(end)] + dict(table)[end]
 
 
+@lru_cache(maxsize=1 << 17)  # a worker meets most words again
 def stem(word: str) -> str:
     w = word.lower()
     if len(w) <= 2 or not (w.isascii() and w.isalpha()):
@@ -76,7 +79,6 @@ def stemmed(words: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return rows.map(lambda ws: None if ws is None else [known.setdefault(w, stem(w)) if w not in known else known[w] for w in ws])
+        return rows.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
     return run(words)

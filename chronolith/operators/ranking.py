@@ -1,19 +1,26 @@
 """Ranked retrieval: lexical scores, vector scores, rank fusion and traces, many queries in one plan.
 
 Predicates come before ranking: callers pass admitted rows, while document frequencies and lengths
-are those of the whole index. A corpus is read once for all queries.
+are those of the whole index. The index is built once and kept as files; queries read the postings of
+their terms' buckets. Stems are the same on both sides.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.porter import stemmed
+from ..functions.storage import dropped, scratch, written
+
 K1, B, FUSION_K = 1.2, 0.75, 60
 #: The most distinct tokens of a query.
 MOST_TOKENS = 64
+#: Queries whose vectors are broadcast at once.
+MOST_QUERIES = 4096
 
 
 def tokens(text: Column) -> Column:
@@ -34,33 +41,80 @@ def match_expression(text: Column) -> Column:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id and distinct lower-case term of queries (query_id, query)."""
-    return queries.select("query_id", F.explode(F.array_distinct(F.transform(query_tokens(F.col("query")), F.lower))).alias("term"))
+    """query_id and distinct term, stemmed as the index is, of queries (query_id, query)."""
+    lower = F.transform(query_tokens(F.col("query")), F.lower)
+    return queries.select("query_id", stemmed(lower).alias("terms")).select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+
+
+#: Folders that terms are dealt to by hash; a query reads those of its terms.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A lexical index as files: postings (bucket, term, id, dl, tf) and vocabulary (bucket, term, df, cf) by
+    bucket, and one row of stats (n, avgdl)."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+
+
+def build_index(rows: DataFrame, path: str, text: Column | None = None) -> Index:
+    """Writes the index of rows (id, text) under path. Texts are read and stemmed once; postings move once, to
+    their bucket, where they lie in order of term."""
+    spark = rows.sparkSession
+    found = rows.select("id", stemmed(tokens(F.col("text") if text is None else text)).alias("terms"))
+    found = written(found.select("id", F.size("terms").alias("dl"), "terms"), "analysed")
+    found.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    counted = found.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dealt = counted.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term", "id")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    df.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
+    dropped(found)
+    return open_index(spark, path)
 
 
-def index(rows: DataFrame, text: Column | None = None) -> DataFrame:
-    """id and tokens of rows: what the lexical index holds."""
-    return rows.select("id", tokens(F.col("text") if text is None else text).alias("tokens"))
+def open_index(spark: SparkSession, path: str) -> Index:
+    postings = spark.read.schema("term string, id long, dl int, tf long, bucket int").parquet(f"{path}/postings")
+    vocabulary = spark.read.schema("term string, df long, cf long, bucket int").parquet(f"{path}/vocabulary")
+    return Index(postings, vocabulary, spark.read.schema("n long, avgdl double").parquet(f"{path}/stats"))
 
 
-def postings(indexed: DataFrame) -> DataFrame:
-    """term, id and tf, with the document's length dl."""
-    return indexed.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def scratch_index(rows: DataFrame, text: Column | None = None) -> Index:
+    """An index in the shared folder, for as long as the session lives."""
+    return build_index(rows, scratch(rows.sparkSession, "index"), text)
 
 
-def vocabulary(indexed: DataFrame) -> DataFrame:
+def _asked(indexed: DataFrame, terms: DataFrame) -> DataFrame:
+    """indexed's rows in the buckets of some query's terms; the driver sees bucket numbers."""
+    wanted = [r[0] for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]
+    return indexed.filter(F.col("bucket").isin(wanted)) if wanted else indexed.filter(F.lit(False))
+
+
+def postings(index: Index) -> DataFrame:
+    """term, id, dl and tf."""
+    return index.postings.select("term", "id", "dl", "tf")
+
+
+def vocabulary(index: Index) -> DataFrame:
     """term and df: in how many documents a term occurs."""
-    return indexed.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.vocabulary.select("term", "df")
 
 
-def matches(indexed: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, term, id, tf and dl of the documents that hold a query's term.
+def matches(index: Index, terms: DataFrame) -> DataFrame:
+    """query_id, term, id, tf and dl of the documents that hold a query's term."""
+    return _asked(index.postings, terms).join(terms, "term").select("query_id", "term", "id", "tf", "dl")
 
-    Only tokens that some query asks for leave their document's row.
-    """
-    rows = indexed.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    hits = rows.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return hits.join(terms, "term").select("query_id", "term", "id", "tf", "dl")
+
+def frequencies(index: Index, terms: DataFrame) -> DataFrame:
+    """term and df of the queries' terms that the index has."""
+    return _asked(index.vocabulary, terms).join(terms.select("term").distinct(), "term", "left_semi").select("term", "df")
 
 
 def drop_frequent(terms: DataFrame, df: DataFrame, n: Column, above: float) -> DataFrame:
@@ -73,17 +127,15 @@ def drop_frequent(terms: DataFrame, df: DataFrame, n: Column, above: float) -> D
     return rows.filter("__kept or (__rarest and not __any)").select("query_id", "term", "df")
 
 
-def bm25(indexed: DataFrame, terms: DataFrame, admitted: DataFrame | None = None) -> DataFrame:
+def bm25(index: Index, terms: DataFrame, admitted: DataFrame | None = None) -> DataFrame:
     """query_id, id and score, lower is better, of the documents that hold a term.
 
-    Number, lengths and frequencies are over all of indexed; admitted (id) restricts what is scored.
+    Number, lengths and frequencies are over all of the index; admitted (id) restricts what is scored.
     """
-    size = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    hits = matches(indexed, terms)
-    df = hits.select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = matches(index, terms)
     if admitted is not None:
         hits = hits.join(admitted, "id", "left_semi")
-    rows = hits.join(df, "term").crossJoin(F.broadcast(size))  # one row
+    rows = hits.join(frequencies(index, terms), "term").crossJoin(F.broadcast(index.stats))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "id").agg(F.round(-F.sum(part), 6).alias("score"))
@@ -101,10 +153,17 @@ def dot(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, admitted: DataFrame | None = None) -> DataFrame:
     """query_id, id and score, higher is better, of vectors (id, embedding) for queries (query_id, vector).
 
-    The queries are the small side: they are repeated for each vector, vectors never move.
+    The queries are repeated for each vector, vectors never move. Queries go in batches of MOST_QUERIES, so
+    what is broadcast is bounded.
     """
     if admitted is not None:
         vectors = vectors.join(admitted, "id", "left_semi")
+    batches = -(-queries.count() // MOST_QUERIES) or 1
+    dealt = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == i) for i in range(batches)] if batches > 1 else [queries]
+    return reduce(DataFrame.unionByName, [_dense(vectors, q) for q in dealt])
+
+
+def _dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(dot(F.col("embedding"), F.col("vector")), 5).alias("score"))
 
 
@@ -145,16 +204,23 @@ def retrieval_text(context: Column, heading: Column, text: Column) -> Column:
     return F.concat_ws("\n", F.when(head != "", head), text)
 
 
-def retrieve(rows: DataFrame, vectors: DataFrame, queries: DataFrame, admitted: DataFrame, k: int = 50, head: int = 20, final: int = 8) -> DataFrame:
+def retrieve(rows: DataFrame, vectors: DataFrame, queries: DataFrame, admitted: DataFrame, k: int = 50, head: int = 20, final: int = 8, index: Index | None = None) -> DataFrame:
     """The pipeline's trace: query_id, stage, rank, id and score of each stage.
 
-    rows (id, text, authority), vectors (id, embedding), queries (query_id, query, vector). Stages:
-    lexical and dense under the predicates, fused, reranked head, final.
+    rows (id, text, authority), vectors (id, embedding), queries (query_id, query, vector), and the index
+    of rows if there is one. Stages: lexical and dense under the predicates, fused, reranked head, final.
+    Heads of a few rows a query are written before they are fused, so no stage is computed twice.
     """
-    lexical = top(bm25(index(rows), query_terms(queries), admitted), k, F.col("score"), F.col("id"))
+    lexical = top(bm25(index or scratch_index(rows), query_terms(queries), admitted), k, F.col("score"), F.col("id"))
     near = top(dense(vectors, queries.select("query_id", "vector"), admitted), k, F.col("score").desc(), F.col("id"))
-    both = fused([lexical, near], rows.select("id", "authority"))
-    again = reranked(both.filter(F.col("rank") <= head), queries, rows)
+    return staged(lexical, near, queries, rows, head, final)
+
+
+def staged(lexical: DataFrame, near: DataFrame, queries: DataFrame, rows: DataFrame, head: int = 20, final: int = 8) -> DataFrame:
+    """The trace of two ranked heads."""
+    lexical, near = written(lexical.select("query_id", "rank", "id", "score"), "lexical"), written(near.select("query_id", "rank", "id", "score"), "dense")
+    both = written(fused([lexical, near], rows.select("id", "authority")), "fused")
+    again = written(reranked(both.filter(F.col("rank") <= head), queries, rows), "reranked")
     stages = {"lexical": lexical, "dense": near, "fused": both, "reranked": again, "final": again.filter(F.col("rank") <= final)}
     return reduce(DataFrame.unionByName, [df.select("query_id", F.lit(s).alias("stage"), "rank", "id", "score") for s, df in stages.items()])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered
-from ..functions.porter import stemmed
+from ..functions.porter import STEP2, STEP3, STEP4, stemmed
 from ..operators import ranking as R
 from ..operators import temporal as T
 from .base import AT, VERSIONS_SQL, chunks, instant, query, table, versions
@@ -15,10 +15,53 @@ _Q_SQL = "q(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t i
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _QTOK = r"list_filter(regexp_split_to_array(query, '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _ORDERED = "list_transform(list_filter(list_zip(s, range(1, len(s) + 1)), lambda p: list_position(s, p[1]) = p[2]), lambda p: p[1])"
-_INDEX = f"""d AS (SELECT doc_id AS id, source, (1 + try_cast(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 5)::INTEGER AS authority, text, {_TOK} AS tokens FROM documents),
+
+
+def _porter_sql(words: str) -> str:
+    """CTEs that end in st(term, stem): the stemmer as SQL over `words`, a query of column term. Consonant y is
+    written Y meanwhile; steps and suffixes are those of functions.porter."""
+    ends = lambda w, e: f"suffix({w}, '{e}')"
+    cut = lambda w, n: f"{w}[:-{n + 1}]"
+    once = lambda w: f"regexp_matches({w}, '[aeiouy][^aeiouy]')"
+    twice = lambda w: f"regexp_matches({w}, '[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]')"
+    short = lambda w: f"regexp_matches({w}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+    vowel = lambda w: f"regexp_matches({w}, '[aeiouy]')"
+
+    def swaps(table):
+        rows = sorted(table, key=lambda r: -len(r[0]))
+        return "CASE " + " ".join(f"WHEN {ends('w', e)} THEN CASE WHEN {once(cut('w', len(e)))} THEN {cut('w', len(e))} || '{to}' ELSE w END" for e, to in rows) + " ELSE w END"
+
+    fourth = "CASE " + " ".join(f"WHEN {ends('w', e)} THEN CASE WHEN {twice(cut('w', len(e)))}{' AND w[-4:-4] IN (chr(115), chr(116))' if e == 'ion' else ''} THEN {cut('w', len(e))} ELSE w END" for e in sorted(STEP4, key=lambda e: -len(e))) + " ELSE w END"
+    tidy = f"CASE WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN length(w) > 1 AND lower(w[-1:]) = lower(w[-2:-2]) AND regexp_matches(w, '[^aeiouylsz]$') THEN {cut('w', 1)} WHEN {once('w')} AND NOT {twice('w')} AND {short('w')} THEN w || 'e' ELSE w END"
+    steps = [
+        f"CASE WHEN regexp_matches(w, '(sses|ies)$') THEN {cut('w', 2)} WHEN {ends('w', 's')} AND NOT {ends('w', 'ss')} THEN {cut('w', 1)} ELSE w END",
+        None,
+        f"CASE WHEN regexp_matches(w, '[yY]$') AND {vowel(cut('w', 1))} THEN {cut('w', 1)} || 'i' ELSE w END",
+        swaps(STEP2), swaps(STEP3), fourth,
+        f"CASE WHEN {ends('w', 'e')} AND ({twice(cut('w', 1))} OR {once(cut('w', 1))} AND NOT {short(cut('w', 1))}) THEN {cut('w', 1)} ELSE w END",
+        f"CASE WHEN {ends('w', 'll')} AND {twice(cut('w', 1))} THEN {cut('w', 1)} ELSE w END",
+    ]
+    out = [f"p_all AS ({words})", "p_0 AS (SELECT term, regexp_replace(term, '(^|[aeiouy])y', '\\1Y', 'g') AS w FROM p_all WHERE length(term) > 2 AND regexp_full_match(term, '[a-z]+'))"]
+    last = "p_0"
+    for i, step in enumerate(steps, 1):
+        if step is None:
+            cutting = f"CASE WHEN {ends('w', 'eed')} THEN 0 WHEN {ends('w', 'ed')} AND {vowel(cut('w', 2))} THEN 2 WHEN {ends('w', 'ing')} AND {vowel(cut('w', 3))} THEN 3 ELSE 0 END"
+            out.append(f"p_{i}a AS (SELECT term, CASE WHEN {ends('w', 'eed')} THEN CASE WHEN {once(cut('w', 3))} THEN {cut('w', 1)} ELSE w END WHEN k > 0 THEN left(w, length(w) - k) ELSE w END AS w, k FROM (SELECT *, {cutting} AS k FROM {last}))")
+            out.append(f"p_{i} AS (SELECT term, CASE WHEN k > 0 THEN {tidy} ELSE w END AS w FROM p_{i}a)")
+        else:
+            out.append(f"p_{i} AS (SELECT term, {step} AS w FROM {last})")
+        last = f"p_{i}"
+    out.append(f"st AS (SELECT term, lower(w) AS stem FROM {last} UNION ALL SELECT term, term FROM p_all WHERE NOT (length(term) > 2 AND regexp_full_match(term, '[a-z]+')))")
+    return ",\n".join(out)
+
+
+_D_SQL = f"d AS (SELECT doc_id AS id, source, (1 + try_cast(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 5)::INTEGER AS authority, text, {_TOK} AS tokens FROM documents)"
+_QW_SQL = f"qw AS (SELECT DISTINCT query_id, lower(unnest({_QTOK})) AS term FROM q)"
+_STEMS_SQL = _porter_sql("SELECT DISTINCT unnest(tokens) AS term FROM d UNION SELECT term FROM qw")
+_INDEX = f"""{_D_SQL}, {_QW_SQL}, {_STEMS_SQL},
 size AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
-t AS (SELECT DISTINCT query_id, lower(unnest({_QTOK})) AS term FROM q),
-p AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM d),
+t AS (SELECT DISTINCT query_id, stem AS term FROM qw JOIN st USING (term)),
+p AS (SELECT id, dl, stem AS term FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM d) JOIN st USING (term)),
 h AS (SELECT term, id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM h GROUP BY term)"""
 _BM25 = """round(-sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6)"""
@@ -26,6 +69,18 @@ _LEX = f"""lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s
   SELECT query_id, id, {_BM25} AS score FROM h JOIN t USING (term) JOIN df USING (term), size WHERE id IN (SELECT id FROM d WHERE source <> 'src3') GROUP BY query_id, id))"""
 
 
+_BUILT: dict[tuple, R.Index] = {}
+
+
+def index_of(spark, sf) -> R.Index:
+    """The index of documents: built once a session for the same files, then read."""
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _BUILT:
+        _BUILT[key] = R.scratch_index(chunks(spark, sf))
+    return _BUILT[key]
+
+
 def _queries(spark):
     return spark.createDataFrame(_QUERIES, "query_id int, query string")
 
@@ -33,24 +88,27 @@ def _queries(spark):
 @query("r1_bm25_topk", f"WITH {_Q_SQL}, {_INDEX}, {_LEX} SELECT query_id, id, score, rank::INTEGER AS rank FROM lex WHERE rank <= 10")
 def r1(spark, sf):
     rows = chunks(spark, sf)
-    scored = R.bm25(R.index(rows), R.query_terms(_queries(spark)), rows.filter("source <> 'src3'").select("id"))
+    scored = R.bm25(index_of(spark, sf), R.query_terms(_queries(spark)), rows.filter("source <> 'src3'").select("id"))
     return R.top(scored, 10, F.col("score"), F.col("id"))
 
 
 @query("s4_match_scan", f"WITH {_Q_SQL}, {_INDEX} SELECT query_id, count(DISTINCT id) AS matched, sum(tf)::BIGINT AS occurrences FROM h JOIN t USING (term) GROUP BY query_id")
 def s4(spark, sf):
-    hits = R.matches(R.index(chunks(spark, sf)), R.query_terms(_queries(spark)))
+    hits = R.matches(index_of(spark, sf), R.query_terms(_queries(spark)))
     return hits.groupBy("query_id").agg(F.countDistinct("id").alias("matched"), F.sum("tf").alias("occurrences"))
 
 
-@query("s5_vocabulary", f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY term")
+_WORDS_SQL = f"{_D_SQL}, {_porter_sql('SELECT DISTINCT unnest(tokens) AS term FROM d')}"
+
+
+@query("s5_vocabulary", f"WITH {_WORDS_SQL} SELECT term, count(*) AS df FROM (SELECT DISTINCT id, stem AS term FROM (SELECT id, unnest(tokens) AS term FROM d) JOIN st USING (term)) GROUP BY term")
 def s5(spark, sf):
-    return R.vocabulary(R.index(chunks(spark, sf)))
+    return R.vocabulary(index_of(spark, sf))
 
 
-@query("s5_postings", f"SELECT term, id, dl, count(*) AS tf FROM (SELECT doc_id AS id, len(k)::INTEGER AS dl, unnest(k) AS term FROM (SELECT doc_id, {_TOK} AS k FROM documents WHERE source = 'src2')) GROUP BY ALL")
+@query("s5_postings", f"WITH {_WORDS_SQL} SELECT stem AS term, id, dl, count(*) AS tf FROM (SELECT id, len(tokens)::INTEGER AS dl, unnest(tokens) AS term FROM d) JOIN st USING (term) GROUP BY ALL")
 def s5_postings(spark, sf):
-    return R.postings(R.index(chunks(spark, sf).filter("source = 'src2'")))
+    return R.postings(index_of(spark, sf))
 
 
 @query("s6_index_cardinality", f"WITH {VERSIONS_SQL} SELECT count(*) AS indexed, count(*) FILTER (system_to IS NULL) AS believed FROM v")
@@ -68,16 +126,13 @@ def r2(spark, sf):
     f"WITH {_Q_SQL}, {_INDEX}, k AS (SELECT query_id, term, coalesce(df, 0) AS df, coalesce(df, 0) <= n * 0.5 AS kept, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(df, 0), term) = 1 AS rarest FROM t LEFT JOIN df USING (term), size), a AS (SELECT *, bool_or(kept) OVER (PARTITION BY query_id) AS any_kept FROM k) SELECT query_id, term, df FROM a WHERE kept OR (rarest AND NOT any_kept)",
 )
 def r3(spark, sf):
-    indexed = R.index(chunks(spark, sf))
-    terms = R.query_terms(_queries(spark))
-    df = R.matches(indexed, terms).select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = indexed.agg(F.count(F.lit(1)).alias("n"))
-    return R.drop_frequent(terms.crossJoin(F.broadcast(size)), df, F.col("n"), 0.5)
+    index, terms = index_of(spark, sf), R.query_terms(_queries(spark))
+    return R.drop_frequent(terms.crossJoin(F.broadcast(index.stats.select("n"))), R.frequencies(index, terms), F.col("n"), 0.5)
 
 
-@query("r4_stems")
+@query("r4_stems", f"WITH {_WORDS_SQL} SELECT term, stem FROM st")
 def r4(spark, sf):
-    words = R.vocabulary(R.index(chunks(spark, sf).filter("lang = 'en'"))).select("term")
+    words = table(spark, sf, "documents").select(F.explode(R.tokens(F.col("text"))).alias("term")).distinct()
     return words.select("term", F.get(stemmed(F.array("term")), 0).alias("stem"))
 
 
@@ -109,7 +164,7 @@ f AS (SELECT query_id, id, coalesce(authority, 2) AS authority, score, row_numbe
 
 def _lists(spark, sf):
     rows = chunks(spark, sf)
-    lexical = R.top(R.bm25(R.index(rows), R.query_terms(_queries(spark)), rows.filter("source <> 'src3'").select("id")), 50, F.col("score"), F.col("id"))
+    lexical = R.top(R.bm25(index_of(spark, sf), R.query_terms(_queries(spark)), rows.filter("source <> 'src3'").select("id")), 50, F.col("score"), F.col("id"))
     return rows, lexical, _dense(spark, sf, 50)
 
 
@@ -151,13 +206,8 @@ SELECT query_id, 'lexical' AS stage, rank::INTEGER AS rank, id, score FROM lex W
 UNION ALL SELECT query_id, 'fused', rank, id, score FROM f UNION ALL SELECT query_id, 'reranked', rank, id, score FROM rr UNION ALL SELECT query_id, 'final', rank, id, score FROM rr WHERE rank <= 8""",
 )
 def r12(spark, sf):
-    from functools import reduce
-
     rows, lexical, near = _lists(spark, sf)
-    both = R.fused([lexical, near], rows)
-    again = R.reranked(both.filter("rank <= 20"), _queries(spark), rows)
-    stages = {"lexical": lexical, "dense": near, "fused": both, "reranked": again, "final": again.filter("rank <= 8")}
-    return reduce(lambda a, b: a.unionByName(b), [df.select("query_id", F.lit(s).alias("stage"), "rank", "id", "score") for s, df in stages.items()])
+    return R.staged(lexical, near, _queries(spark), rows)
 
 
 _FORCE = f"valid_from <= TIMESTAMP '{AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}')"

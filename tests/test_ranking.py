@@ -17,13 +17,23 @@ def queries(spark, *texts):
 
 
 def test_bm25_by_hand(spark):
-    got = {(r["query_id"], r["id"]): r["score"] for r in R.bm25(R.index(docs(spark)), R.query_terms(queries(spark, "Annual", "?!", "zzz"))).collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in R.bm25(R.scratch_index(docs(spark)), R.query_terms(queries(spark, "Annual", "?!", "zzz"))).collect()}
     n, df, avg = 4, 2, 8 / 4
     idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
     want = lambda tf, dl: round(-idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg)), 6)
     assert got == {(0, 1): want(1, 3), (0, 3): want(2, 3)}
 
 
+def test_stems_meet_on_both_sides_and_the_index_stays(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Agencies grant leaves"), (2, "the agency granted leave"), (3, "unrelated")], "id long, text string")
+    R.build_index(rows, f"{tmp_path}/index")
+    index = R.open_index(spark, f"{tmp_path}/index")
+    hits = {(r["query_id"], r["id"]) for r in R.matches(index, R.query_terms(queries(spark, "granting leave", "agency's"))).collect()}
+    assert hits == {(0, 1), (0, 2), (1, 1), (1, 2)}
+    plan = R.matches(index, R.query_terms(queries(spark, "leave")))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: [", 1)[1][:80]
+
+
 def test_query_tokens_keep_spellings_and_stop_at_64(spark):
     row = queries(spark, "Leave leave Leave", "", " ".join(f"w{i}" for i in range(80))).select(R.match_expression(F.col("query")).alias("m"), F.size(R.query_tokens(F.col("query"))).alias("n")).collect()
     assert [r["m"] for r in row[:2]] == ['"Leave" OR "leave"', '""']
