@@ -79,6 +79,17 @@ def expiry(cited: DataFrame, now: Column, ttl: str) -> DataFrame:
     return least.select("key", F.least(F.when(F.col("m") > now, F.col("m")), cap).alias("expires"))
 
 
+def cache_put(candidates: DataFrame, believed: DataFrame, now: Column, ttl: str) -> DataFrame:
+    """key, outcome and expires of entries to be stored (key, cited: version ids): refused where something cited
+    is not believed (version_id, valid_to), else stored until expiry() ends it; what cites nothing is stored."""
+    rows = candidates.select("key", F.explode_outer(F.array_distinct("cited")).alias("__c"))
+    rows = rows.join(believed.select(F.col("version_id").alias("__v"), "valid_to"), F.col("__c") == F.col("__v"), "left")
+    gone = rows.groupBy("key").agg(F.count_if(F.col("__c").isNotNull() & F.col("__v").isNull()).alias("__gone"))
+    ends = expiry(rows, now, ttl)
+    out = gone.withColumnRenamed("key", "__k").join(ends, F.col("__k").eqNullSafe(F.col("key")))
+    return out.select("key", F.when(F.col("__gone") > 0, "refused").otherwise("stored").alias("outcome"), F.when(F.col("__gone") == 0, F.col("expires")).alias("expires"))
+
+
 def evicted(entries: DataFrame, cap: int) -> DataFrame:
     """What a cache of `cap` entries loses: all but the most recently used."""
     return numbered(entries, "__i", F.col("used_seq").desc()).filter(F.col("__i") >= cap).drop("__i")

@@ -106,6 +106,13 @@ def v11(spark, sf):
     return V.cache_outcome(entries, v.filter(T.believed_at()), instant("2024-02-05 00:00:00"))
 
 
+@query("v12_cache_put", f"WITH {VERSIONS_SQL}, m AS (SELECT section_id AS key, min(valid_to) AS m, count(*) FILTER (system_to IS NOT NULL) AS gone FROM v WHERE valid_from > TIMESTAMP '2024-01-18' GROUP BY section_id) SELECT key, CASE WHEN gone > 0 THEN 'refused' ELSE 'stored' END AS outcome, CASE WHEN gone = 0 THEN strftime(least(CASE WHEN m > TIMESTAMP '{NOW}' THEN m END, TIMESTAMP '{NOW}' + INTERVAL 2 DAY), '%Y-%m-%d %H:%M:%S') END AS expires FROM m")
+def v12(spark, sf):
+    v = versions(spark, sf)
+    asked = v.filter(F.col("valid_from") > instant("2024-01-18 00:00:00")).groupBy(F.col("section_id").alias("key")).agg(F.collect_list("version_id").alias("cited"))
+    return V.cache_put(asked, v.filter(T.believed_at()), instant(NOW), "2 days").select("key", "outcome", day("expires").alias("expires"))
+
+
 @query("v13_expiry", f"WITH {VERSIONS_SQL}, m AS (SELECT section_id AS key, min(valid_to) AS m FROM v WHERE valid_from > TIMESTAMP '2024-01-18' GROUP BY section_id) SELECT key, strftime(least(CASE WHEN m > TIMESTAMP '{NOW}' THEN m END, TIMESTAMP '{NOW}' + INTERVAL 2 DAY), '%Y-%m-%d %H:%M:%S') AS expires FROM m")
 def v13(spark, sf):
     cited = versions(spark, sf).filter(F.col("valid_from") > instant("2024-01-18 00:00:00")).select(F.col("section_id").alias("key"), "valid_to")

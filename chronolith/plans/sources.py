@@ -30,43 +30,54 @@ def s24(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(found_references(page, F.lit(""), F.lit(""))).alias("r")).select("page_id", "r.kind", "r.phrase")
 
 
-PART = """<DIV5 N="630" TYPE="PART"><DIV6 N="B" TYPE="SUBPART"><DIV8 N="§ 630.201" TYPE="SECTION"><HEAD>§ 630.201 Definitions.</HEAD><P>(a) In this part<FTNT><P>a note</P></FTNT>, leave means:</P><P>(1) Annual leave; and</P><P>(i) Sick leave.</P><P>(2) Other leave.</P><P>(b) <I>Agency</I> means any.</P><CITA>[64 FR 1]</CITA></DIV8><DIV8 N="§ 630.202" TYPE="SECTION"><HEAD>§ 630.202 Tables.</HEAD><P>Flush text:</P><TABLE><TR><TH>Years</TH><TH>Days</TH></TR><TR><TD>1</TD><TD>13</TD></TR></TABLE></DIV8></DIV6></DIV5>"""
 STATUTE = """<title><section identifier="/us/usc/t5/s6304"><num value="6304">6304</num><subsection><num value="a">(a)</num><chapeau>Annual leave<footnote>x</footnote> accrues</chapeau><paragraph><num value="1">(1)</num><content>not used;</content></paragraph><continuation>and lapses.</continuation></subsection><subsection><num value="b">(b)</num><content>See note.</content></subsection><sourceCredit>(Pub. L. 89-554, Sept. 6, 1966, 80 Stat. 519; Pub. L. 93-181, Dec. 14, 1973, 87 Stat. 705.)</sourceCredit></section></title>"""
-NOTICE = """<html><pre>[[Page 101]]
 
-SUMMARY
+def _filled(template: str):
+    """A text with the page's number in place of every {n}."""
+    return F.replace(F.lit(template), F.lit("{n}"), F.col("page_id").cast("string"))
 
-The agency proposes &sect; 630.201 to read
-as follows.
-    A new paragraph
-goes on.
 
-[[Page 102]]
+PART = """<DIV5 N="630" TYPE="PART"><DIV6 N="B" TYPE="SUBPART"><DIV8 N="§ 630.{n}" TYPE="SECTION"><HEAD>§ 630.{n} Definitions of {n}.</HEAD><P>(a) In this part<FTNT><P>a note</P></FTNT>, leave {n} means:</P><P>(1) Annual leave; and</P><P>(i) Sick leave.</P><P>(2) Other leave.</P><P>(b) <I>Agency</I> means any.</P><CITA>[64 FR 1]</CITA></DIV8><DIV8 N="§ 631.{n}" TYPE="SECTION"><HEAD>§ 631.{n} Tables.</HEAD><P>Flush text:</P><TABLE><TR><TH>Years</TH><TH>Days</TH></TR><TR><TD>{n}</TD><TD>13</TD></TR></TABLE></DIV8></DIV6></DIV5>"""
+_FIRST = ["(a) In this part, leave {n} means:", "(1) Annual leave; and", "(i) Sick leave.", "(2) Other leave.", "(b) Agency means any."]
+_PLACES = ["a", "a-1", "a-1-i", "a-2", "b"]
 
-PART 630 ABSENCE
 
-1. Amend the authority.
-</pre></html>"""
+def _sections(spark, sf):
+    """A part of two sections for each page; every fifth part is cut short and every seventh declares an entity."""
+    n = F.col("page_id")
+    xml = F.when(n % 5 == 3, F.left(_filled(PART), F.lit(60))).when(n % 7 == 4, F.concat(F.lit("<!DOCTYPE x [<!ENTITY e 'f'>]>"), _filled(PART))).otherwise(_filled(PART))
+    return table(spark, sf, "pages").select("page_id", xml.alias("xml"))
 
 
-def _sections(spark):
-    rows = spark.createDataFrame([(PART,), (None,)], "xml string")
-    return rows.select(F.explode(markup.code_sections(F.col("xml"))).alias("s")).select("s.*")
+def _read(spark, sf):
+    return _sections(spark, sf).select("page_id", F.explode(markup.code_sections(F.col("xml"))).alias("s")).select("page_id", "s.*")
 
 
-@query("s13_sections")
+_GOOD = "g AS (SELECT page_id, page_id::VARCHAR AS n FROM pages WHERE page_id % 5 <> 3 AND page_id % 7 <> 4)"
+
+
+@query("h10_xml_errors", "SELECT page_id, CASE WHEN page_id % 5 = 3 THEN 'not well-formed: ParseError' WHEN page_id % 7 = 4 THEN 'declares a document type or entities' END AS error FROM pages")
+def h10(spark, sf):
+    return _sections(spark, sf).select("page_id", markup.xml_error(F.col("xml")).alias("error"))
+
+
+@query("s13_sections", f"WITH {_GOOD} SELECT page_id, '630.' || n AS section, 'Definitions of ' || n AS heading, 'B' AS subpart, 5 AS paragraphs FROM g UNION ALL SELECT page_id, '631.' || n, 'Tables', 'B', 2 FROM g")
 def s13(spark, sf):
-    return _sections(spark).select("section", "heading", "subpart", F.size("paragraphs").alias("paragraphs"))
+    return _read(spark, sf).select("page_id", "section", "heading", "subpart", F.size("paragraphs").alias("paragraphs"))
 
 
-@query("s15_tables")
+@query(
+    "s15_tables",
+    f"WITH {_GOOD} SELECT page_id, '630.' || n AS section, pos::INTEGER AS pos, replace(({_FIRST!r})[pos + 1], '{{n}}', n) AS text FROM g, range(0, 5) AS r(pos) UNION ALL SELECT page_id, '631.' || n, 0, 'Flush text:' FROM g UNION ALL SELECT page_id, '631.' || n, 1, 'Years | Days' || chr(10) || n || ' | 13' FROM g",
+)
 def s15(spark, sf):
-    return _sections(spark).select("section", F.posexplode("paragraphs").alias("pos", "text"))
+    return _read(spark, sf).select("page_id", "section", F.posexplode("paragraphs").alias("pos", "text"))
 
 
-@query("c14_placement")
+@query("c14_placement", f"WITH {_GOOD} SELECT page_id, '630.' || n AS section, ({_PLACES!r})[pos + 1] AS anchor FROM g, range(0, 5) AS r(pos)")
 def c14(spark, sf):
-    return _sections(spark).select("section", F.explode(markup.placed_paragraphs(F.col("paragraphs"))).alias("p")).select("section", "p.*")
+    rows = _read(spark, sf).filter("section like '630.%'")
+    return rows.select("page_id", "section", F.explode(markup.placed_paragraphs(F.col("paragraphs"))).alias("p")).select("page_id", "section", "p.anchor")
 
 
 @query("c13_designator_streams")
@@ -76,10 +87,32 @@ def c13(spark, sf):
     return rows.select("id", F.array_join(F.transform(markup.placed_paragraphs(texts), lambda p: p["anchor"]), " ").alias("anchors"))
 
 
-@query("s33_statute")
+LAW = """<title><section identifier="/us/usc/t5/s{n}"><num value="{n}">{n}</num><subsection><num value="a">(a)</num><chapeau>Leave {n}<ref class="footnoteRef">1</ref><footnote>x</footnote> accrues<sup>2</sup></chapeau><paragraph><num value="1">(1)</num><content>under <ref href="/us/usc/t5/s6304/a">section 6304</ref>;</content></paragraph><continuation>and lapses.</continuation></subsection><subsection><num value="b">(b)</num><content>See <ref href="/us/usc/t42/s2000e">it</ref> and <ref href="/us/pl/89/554">law</ref>.</content></subsection><notes><note>See <ref href="/us/usc/t1/s1">1</ref></note></notes></section></title>"""
+
+
+def _laws(spark, sf):
+    return table(spark, sf, "pages").select("page_id", _filled(LAW).alias("xml"))
+
+
+@query("s33_statute", "SELECT page_id, page_id::VARCHAR AS section, u.anchor, replace(u.text, '{n}', page_id::VARCHAR) AS text FROM pages, (VALUES ('a', 'Leave {n} accrues and lapses.'), ('a-1', 'under section 6304;'), ('b', 'See it and law.')) AS u(anchor, text)")
 def s33(spark, sf):
-    rows = spark.createDataFrame([(STATUTE,)], "xml string")
-    return rows.select(F.explode(markup.statute_rows(F.col("xml"))).alias("u")).select("u.*")
+    return _laws(spark, sf).select("page_id", F.explode(markup.statute_rows(F.col("xml"))).alias("u")).select("page_id", "u.*")
+
+
+@query("s38_statute_references", "SELECT page_id, '5 U.S.C. ' || page_id::VARCHAR AS section, unnest(list_distinct(['5 U.S.C. ' || page_id::VARCHAR, '5 U.S.C. 6304', '42 U.S.C. 2000e'])) AS target FROM pages")
+def s38(spark, sf):
+    return _laws(spark, sf).select("page_id", F.explode(markup.statute_links(F.col("xml"))).alias("u")).select("page_id", "u.*")
+
+
+@query("c16_statute_placement", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a a-1 a-2 b' WHEN 1 THEN 'a a-1 A' ELSE 'a a-1 a-1-i a-1-ii a-2 b' END AS anchors FROM pages")
+def c16(spark, sf):
+    """Designators with the depth that the document's nesting gives, or none."""
+    none = F.lit(None).cast("int")
+    texts = {0: "a 1 2 b", 1: "a 1 A", 2: "a 1 i ii 2 b"}
+    tokens = F.when(F.col("page_id") % 3 == 0, F.split(F.lit(texts[0]), " ")).when(F.col("page_id") % 3 == 1, F.split(F.lit(texts[1]), " ")).otherwise(F.split(F.lit(texts[2]), " "))
+    rows = table(spark, sf, "pages").select("page_id", tokens.alias("t"))
+    depths = F.transform("t", lambda t, i: F.when((F.col("page_id") % 3 == 1) & (t == "A"), F.lit(0)).otherwise(none))
+    return rows.select("page_id", F.array_join(markup.statute_placement(F.col("t"), depths), " ").alias("anchors"))
 
 
 @query("s35_last_amended", "SELECT 1 AS id, '1973-12-14' AS amended UNION ALL SELECT 2, NULL UNION ALL SELECT 3, '2001-06-05'")
@@ -94,17 +127,40 @@ def s39(spark, sf):
     return spark.range(1).select(markup.title_code(F.lit(5)).alias("code"), congress.alias("congress"), law.alias("law"))
 
 
-@query("s26_notice_text", "SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) > 0 AS has_text FROM pages")
+@query("s26_notice_text", "SELECT page_id, 'Notice ' || page_id::VARCHAR || ' under § 6 & <b> said' AS text FROM pages")
 def s26(spark, sf):
-    return table(spark, sf, "pages").select("page_id", (F.length(markup.clean_notice(F.col("html"))) > 0).alias("has_text"))
+    return table(spark, sf, "pages").select("page_id", markup.clean_notice(_filled("<html><pre>Notice <a href='x'>{n}</a> under &sect; 6 &amp; &lt;b&gt; said</pre><p>not this</p></html>")).alias("text"))
 
 
-@query("s27_notice_blocks")
-def s27(spark, sf):
-    notices = spark.createDataFrame([("n1", NOTICE)], "doc string, payload string").select("doc", markup.clean_notice(F.col("payload")).alias("text"))
+RULE = "<pre>[[Page 10{n}]]\n\nSUMMARY\n\nThe agency proposes {n} to read\nas follows.\n    A new paragraph\ngoes on.\n\n[[Page 20{n}]]\n\nPART 630 LEAVE\n\n1. The authority citation reads:\n\n§ 630.{n} Scope.\n\nText of {n}.\n\nMore text.</pre>"
+_BLOCKS = [("heading", 0, "SUMMARY"), ("prose", 0, "The agency proposes {n} to read as follows.\nA new paragraph goes on."), ("part", 1, "PART 630 LEAVE"), ("amendment", 1, "1. The authority citation reads:"), ("section", 1, "§ 630.{n} Scope."), ("prose", 1, "Text of {n}."), ("prose", 1, "More text.")]
+_UNITS = [("summary", "SUMMARY", "The agency proposes {n} to read as follows.\nA new paragraph goes on."), ("part-630-leave", "PART 630 LEAVE", ""), ("amdt-1", "1. The authority citation reads:", ""), ("sec-630.{n}", "§ 630.{n} Scope.", "Text of {n}.\nMore text.")]
+
+
+def _values(rows) -> str:
+    """Rows of numbers and texts for VALUES; line ends are spelled out."""
+
+    def one(x) -> str:
+        return str(x) if isinstance(x, int) else " || chr(10) || ".join(f"'{line}'" for line in x.split("\n"))
+
+    return ", ".join(f"({', '.join(map(one, r))})" for r in rows)
+
+
+def _notice_blocks(spark, sf):
+    notices = table(spark, sf, "pages").select(F.col("page_id").alias("doc"), markup.clean_notice(_filled(RULE)).alias("text"))
     return markup.notice_blocks(notices).withColumn("kind", markup.heading_kind(F.col("text")))
 
 
+@query("s27_notice_blocks", f"SELECT page_id AS doc, kind, (CASE page WHEN 0 THEN '10' ELSE '20' END || page_id::VARCHAR)::INTEGER AS page, replace(text, '{{n}}', page_id::VARCHAR) AS text FROM pages, (VALUES {_values(_BLOCKS)}) AS b(kind, page, text)")
+def s27(spark, sf):
+    return _notice_blocks(spark, sf).select("doc", "kind", "page", "text")
+
+
+@query("s29_notice_units", f"SELECT page_id AS doc, replace(anchor, '{{n}}', page_id::VARCHAR) AS anchor, replace(heading, '{{n}}', page_id::VARCHAR) AS heading, replace(text, '{{n}}', page_id::VARCHAR) AS text FROM pages, (VALUES {_values(_UNITS)}) AS u(anchor, heading, text)")
+def s29(spark, sf):
+    return markup.notice_units(_notice_blocks(spark, sf)).select("doc", "anchor", "heading", "text")
+
+
 @query("s31_references", "SELECT '5 CFR 630,29 CFR 1614' AS refs")
 def s31(spark, sf):
     rows = spark.createDataFrame([([(5, 630), (5, None), (29, 1614), (5, 630)],)], "r array<struct<title:int,part:int>>")

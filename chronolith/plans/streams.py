@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import scratch
 from ..streaming import state
 from .base import query
+from .temporal import _SCD2_SQL
 
 
 def _run(df, mode: str):
@@ -36,3 +38,18 @@ def metric_windows(spark, sf):
 def token_bucket(spark, sf):
     rows = _events(spark, sf).select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     return _run(state.token_bucket(rows, 1 / 20000, 3), "update")
+
+
+@query("stream_versions", f"WITH {_SCD2_SQL} SELECT section::VARCHAR AS section, text, valid_from::VARCHAR AS valid_from, o.date::VARCHAR AS valid_to FROM g LEFT JOIN o ON o.ord = last + 1")
+def stream_versions(spark, sf):
+    path, last = scratch(spark, "versions"), []
+    sink = state.versions_sink(path)
+
+    def run(batch, number):
+        days = batch.groupBy(F.col("user_id").cast("string").alias("section"), F.to_date("ts").alias("date")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("text"))
+        sink(days, number)
+        last.append(number)
+
+    _events(spark, sf).writeStream.foreachBatch(run).trigger(availableNow=True).option("checkpointLocation", scratch(spark, "versions-log")).start().awaitTermination()
+    kept = state.versions_kept(spark, path, max(last))
+    return kept.select("section", "text", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))

@@ -100,16 +100,17 @@ def strip_boilerplate(root: Node) -> Node:
 
 
 def main_region(root: Node) -> Node:
-    """A landmark with enough text, else the smallest container with enough of all text, else the body."""
+    """A landmark with enough text, else of the containers with enough of all text the one with most text for
+    each of its elements, else the body."""
     nodes = list(root.walk())
     for node in nodes:
         if (node.tag in LANDMARKS or node.attrs.get("role") == "main") and len(node.text()) >= LEAST_LANDMARK:
             return node
     body = next((n for n in nodes if n.tag == "body"), root)
     total = len(body.text())
-    dense = [(len(n.text()), i, n) for i, n in enumerate(nodes) if n.tag in CONTAINERS]
-    dense = [x for x in dense if total and x[0] >= LEAST_SHARE * total]
-    return min(dense, key=lambda x: (x[0], -x[1]))[2] if dense else body
+    sizes = [(len(n.text()), n) for n in nodes if n.tag in CONTAINERS]
+    dense = [(size / (1 + sum(1 for _ in n.walk())), n) for size, n in sizes if size >= max(LEAST_SHARE * total, LEAST_LANDMARK)]
+    return max(dense, key=lambda x: x[0])[1] if dense else body  # the first of equals
 
 
 def slug(text: str) -> str:

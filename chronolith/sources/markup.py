@@ -15,6 +15,29 @@ APPARATUS = {"CITA", "AUTH", "SOURCE", "EDNOTE", "EFFDNOT", "FTNT", "SECAUTH", "
 PROSE = {"P", "FP", "HD1", "HD2", "EXTRACT"}
 
 
+def tree(xml: str | None) -> tuple[ET.Element | None, str | None]:
+    """The root of an XML text, or what is wrong with it. Declarations of entities are refused before
+    parsing, and nothing outside of the text is ever read."""
+    if not xml or not xml.strip():
+        return None, None
+    if re.search(r"<!(?:DOCTYPE|ENTITY)", xml, re.IGNORECASE):
+        return None, "declares a document type or entities"
+    try:
+        return ET.fromstring(xml), None
+    except (ET.ParseError, RecursionError, ValueError) as error:
+        return None, f"not well-formed: {type(error).__name__}"
+
+
+def xml_error(xml: Column) -> Column:
+    """Why a text is no XML that is read; null where it is, or is empty."""
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda x: tree(x)[1])
+
+    return run(xml)
+
+
 def strip_apparatus(node: ET.Element) -> ET.Element:
     """Takes out apparatus below a node; what follows it stays."""
     for parent in list(node.iter()):
@@ -48,8 +71,9 @@ def table_text(node: ET.Element) -> str:
 
 
 def sections(xml: str | None) -> list[dict]:
-    """section, heading, subpart and paragraphs of each section of a part."""
-    if not xml:
+    """section, heading, subpart and paragraphs of each section of a part; none where xml_error() tells why."""
+    root, _ = tree(xml)
+    if root is None:
         return []
     out = []
 
@@ -66,7 +90,7 @@ def sections(xml: str | None) -> list[dict]:
         for child in node:
             visit(child, subpart)
 
-    visit(ET.fromstring(xml), "")
+    visit(root, "")
     return out
 
 
@@ -150,19 +174,27 @@ def placed_paragraphs(texts: Column) -> Column:
 NESTED = {"subsection", "paragraph", "subparagraph", "clause", "subclause", "item"}
 
 
+def _is_note(x: ET.Element) -> bool:
+    """A footnote, or the mark in the text that points at one."""
+    name = x.tag.split("}")[-1]
+    return name in ("footnote", "ref-note") or name == "ref" and x.get("class") == "footnoteRef" or name == "sup" and "".join(x.itertext()).strip().isdigit()
+
+
+def flat(x: ET.Element) -> str:
+    """All text of an element but its footnotes and their marks."""
+    return "" if _is_note(x) else (x.text or "") + "".join(flat(c) + (c.tail or "") for c in x)
+
+
 def own_text(node: ET.Element) -> str:
     """A level's own words: chapeau, content and continuation, without footnotes and levels below."""
-    def flat(x: ET.Element) -> str:
-        inner = "" if x.tag.split("}")[-1] in ("footnote", "ref-note") else (x.text or "") + "".join(flat(c) + (c.tail or "") for c in x)
-        return inner
-
     parts = [flat(c) for c in node if c.tag.split("}")[-1] in ("chapeau", "content", "continuation")]
     return re.sub(r"\s+", " ", " ".join(parts)).strip()
 
 
 def statute_units(xml: str | None) -> list[dict]:
-    """section, anchor and text of each level of a statute's sections."""
-    if not xml:
+    """section, anchor and text of each level of a statute's sections; none where xml_error() tells why."""
+    root, _ = tree(xml)
+    if root is None:
         return []
     out = []
     name = lambda e: e.tag.split("}")[-1]
@@ -181,10 +213,71 @@ def statute_units(xml: str | None) -> list[dict]:
         for child in node:
             walk(child, section, path)
 
-    walk(ET.fromstring(xml), "", [])
+    walk(root, "", [])
+    return out
+
+
+def statute_references(xml: str | None) -> list[dict]:
+    """section and target of what each section's operative text points at in the code; itself comes first."""
+    root, _ = tree(xml)
+    found: dict[tuple[str, str], None] = {}
+
+    def walk(node: ET.Element, section: str) -> None:
+        name = node.tag.split("}")[-1]
+        if name in ("notes", "note", "sourceCredit"):
+            return
+        if name == "section" and (m := re.match(r"/us/usc/t(\w+)/s(\w+)$", node.get("identifier", ""))):
+            section = f"{m[1]} U.S.C. {m[2]}"
+            found[section, section] = None
+        if section and name == "ref" and (m := re.match(r"/us/usc/t(\w+)/s([^/]+)", node.get("href", ""))):
+            found[section, f"{m[1]} U.S.C. {m[2]}"] = None
+        for child in node:
+            walk(child, section)
+
+    if root is not None:
+        walk(root, "")
+    return [{"section": s, "target": t} for s, t in found]
+
+
+def statute_links(xml: Column) -> Column:
+    @F.pandas_udf("array<struct<section:string,target:string>>")
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(statute_references)
+
+    return run(xml)
+
+
+def statute_anchors(levels: list[tuple[str, int | None]]) -> list[str]:
+    """Anchors of a stream of (designator, depth): the document's nesting decides where there is one, else
+    the innermost open designator that it succeeds, else it goes a level down."""
+    path: list[str] = []
+    out = []
+    for token, depth in levels:
+        if depth is None:
+            depth = next((i for i in reversed(range(len(path))) if token in successors(path[i])), len(path))
+        path = [*path[:depth], token]
+        out.append("-".join(path))
     return out
 
 
+def successors(token: str) -> set[str]:
+    """What may follow a designator: by number, by letter or by roman numeral."""
+    from ..operators.graph import alpha, alpha_value, roman, roman_value
+
+    if token.isdigit():
+        return {str(int(token) + 1)}
+    out = {spell(value(token) + 1) for value, spell in ((alpha_value, alpha), (roman_value, roman)) if value(token)}
+    return {x.upper() for x in out} if token.isupper() else out
+
+
+def statute_placement(tokens: Column, depths: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(ts: pd.Series, ds: pd.Series) -> pd.Series:
+        return pd.Series([statute_anchors([(t, None if d is None or d != d else int(d)) for t, d in zip(x, y, strict=True)]) for x, y in zip(ts, ds, strict=True)])
+
+    return run(tokens, depths)
+
+
 def statute_rows(xml: Column) -> Column:
     @F.pandas_udf("array<struct<section:string,anchor:string,text:string>>")
     def run(docs: pd.Series) -> pd.Series:
@@ -249,6 +342,23 @@ def heading_kind(block: Column) -> Column:
     )
 
 
+def notice_units(blocks: DataFrame) -> DataFrame:
+    """doc, anchor, heading and text of blocks (doc, block, text, kind): every block that is no prose opens a
+    unit, whose anchor tells a section or an amendment by number and others by their words."""
+    order = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.withColumn("unit", F.sum((F.col("kind") != "prose").cast("int")).over(order))
+    head = F.when(F.col("kind") != "prose", F.col("text"))
+    rows = rows.groupBy("doc", "unit").agg(F.max(head).alias("heading"), F.max(F.when(F.col("kind") != "prose", F.col("kind"))).alias("kind"), F.min("block").alias("pos"), F.sort_array(F.collect_list(F.struct("block", F.when(F.col("kind") == "prose", F.col("text")).alias("text")))).alias("x"))
+    number = F.regexp_extract("heading", r"^§?\s*(\d+(?:\.\d+)?)", 1)
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("heading", F.lit("top"))), r"[^a-z0-9]+", "-"), "^-|-$", "")
+    anchor = F.when(F.col("kind") == "section", F.concat(F.lit("sec-"), number)).when(F.col("kind") == "amendment", F.concat(F.lit("amdt-"), number)).otherwise(slug)
+    texts = F.transform(F.filter("x", lambda b: b["text"].isNotNull()), lambda b: b["text"])
+    rows = rows.select("doc", "pos", anchor.alias("anchor"), F.coalesce("heading", F.lit("")).alias("heading"), F.array_join(texts, "\n").alias("text"))
+    from ..operators.text import merged_anchors
+
+    return merged_anchors(rows)
+
+
 def normalised_references(refs: Column) -> Column:
     """`title CFR part` of structs (title, part), those without part left out, once each."""
     kept = F.filter(refs, lambda r: r["part"].isNotNull())

@@ -65,3 +65,24 @@ def test_predicates_reach_the_scan(spark, tmp_path):
     rows = T.as_of(spark.read.parquet(f"file://{tmp_path}/v"), F.to_date(F.lit("2024-05-01")), exclude_parts=["x"], max_authority=3)
     plan = rows._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "LessThanOrEqual(authority,3)" in plan and "IsNull(system_to)" in plan
+
+
+def test_versions_of_a_stream_are_those_of_the_batch_build(spark, tmp_path):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from chronolith.operators.temporal import scd2
+    from chronolith.streaming.state import versions_kept, versions_sink
+
+    day = lambda d: date(2024, 1, d)
+    rows = [("a", day(1), "x"), ("b", day(1), "x"), ("a", day(2), "y"), ("b", day(2), "x"), ("a", day(3), "y"), ("a", day(4), "z"), ("b", day(5), "w"), ("a", day(5), "z"), ("c", day(5), None), ("a", day(6), "z")]
+    schema = "section string, date date, text string"
+    sink = versions_sink(f"{tmp_path}/v")
+    for number, (lo, hi) in enumerate([(1, 2), (3, 4), (5, 5), (5, 5), (6, 6)]):
+        batch = spark.createDataFrame([r for r in rows if lo <= r[1].day <= hi], schema)
+        sink(batch, number)
+        sink(batch, number)  # repeated after a failure
+    got = {tuple(r) for r in versions_kept(spark, f"{tmp_path}/v", 4).collect()}
+    want = {tuple(r) for r in scd2(spark.createDataFrame(rows, schema)).select("section", "text", "valid_from", "valid_to").collect()}
+    assert got == want and len(want) == versions_kept(spark, f"{tmp_path}/v", 4).agg(F.count("*")).first()[0]
