@@ -11,7 +11,6 @@ from chronolith import registry
 from .conftest import SF
 
 registry.load()
-SLOW = {"k9_policies", "k2_logistic", "x8_temperature"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +29,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
