@@ -166,7 +166,12 @@ def e16_delta(spark, sf):
     return _pairs(spark, sf).agg(F.round(F.sum("diff") / F.sum("n"), 9).alias("delta"), F.sum("wins").alias("wins"), F.sum("losses").alias("losses"))
 
 
-@query("e16_paired_interval")
+@query(
+    "e16_paired_interval",
+    f"""WITH {_ITEMS}, {_PAIR}, w AS (SELECT sample, n::DOUBLE AS n, diff AS h, (('0x' || left(md5(cluster || ':' || sample::VARCHAR), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM p, range(0, 500) AS s(sample)),
+r AS (SELECT sample, round(CASE WHEN sum(({_POISSON_SQL}) * n) > 0 THEN sum(({_POISSON_SQL}) * h) / sum(({_POISSON_SQL}) * n) ELSE 0 END, 9) AS ratio FROM w GROUP BY sample),
+o AS (SELECT ratio, row_number() OVER (ORDER BY ratio) AS i FROM r) SELECT max(ratio) FILTER (i = 13) AS lo, max(ratio) FILTER (i = 488) AS hi FROM o""",
+)
 def e16_interval(spark, sf):
     return S.resampled_ratio(_pairs(spark, sf), "diff", 500)
 

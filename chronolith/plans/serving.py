@@ -174,7 +174,7 @@ def v21(spark, sf):
     return rows.select("text", V.iso_date(F.col("text")).cast("string").alias("date"))
 
 
-@query("v23_parse_response")
+@query("v23_parse_response", "SELECT conv_id, turn, 'a' AS claim, '1,2' AS cites FROM conversations UNION ALL SELECT conv_id, turn, role, '3' FROM conversations")
 def v23(spark, sf):
     raw = F.concat(F.lit('Sure: {"claims": [{"text": "a", "cites": [1, 9, 2]}, {"text": "'), "role", F.lit('", "cites": [0, 3]}]} done'))
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(V.parse_response(raw, F.lit(3))).alias("c"))

@@ -24,7 +24,7 @@ def s23(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.doc_id(F.col("url")).alias("doc_id"), html.title(F.col("html")).alias("title"))
 
 
-@query("s24_citations")
+@query("s24_citations", "SELECT page_id, r.kind, r.phrase FROM pages, (VALUES ('section', '§ 630.310'), ('cfr', '5 CFR 351.403(a)'), ('usc', '5 U.S.C. 6304')) AS r(kind, phrase)")
 def s24(spark, sf):
     page = F.concat("html", F.lit("<p>See § 630.310, 5 CFR 351.403(a) and 5 U.S.C. 6304.</p>"))
     return table(spark, sf, "pages").select("page_id", F.explode(found_references(page, F.lit(""), F.lit(""))).alias("r")).select("page_id", "r.kind", "r.phrase")

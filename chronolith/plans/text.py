@@ -191,7 +191,7 @@ def q8(spark, sf):
     return _questions(spark).select("id", Q.classified(F.col("text")).alias("c")).select("id", "c.*")
 
 
-@query("q9_multi_hop")
+@query("q9_multi_hop", f"""WITH {_QS} SELECT id, regexp_matches(text, '(?i)\\b(subject\\s+to|except\\s+as|pursuant\\s+to|under\\s+(section|paragraph)|referred\\s+to\\s+in)\\b') OR len(list_distinct(regexp_extract_all(text, '(?i)(?:\\d{{1,2}}\\s+CFR\\s+)?(?:§{{1,2}}\\s*|\\bsec(?:tion|\\.)?\\s*)?\\b(\\d{{3}}\\.\\d{{1,4}})\\b', 1))) >= 2 AS multi_hop FROM q""")
 def q9(spark, sf):
     return _questions(spark).select("id", Q.multi_hop(F.col("text")).alias("multi_hop"))
 
@@ -252,7 +252,14 @@ def x6(spark, sf):
     return rows.select("id", "q.kind", (~F.coalesce(C.acknowledged(F.col("q.clause"), F.col("q.kind"), F.col("answer")), F.lit(False))).alias("unstated"))
 
 
-@query("e5_shared_query")
+_LOW = "list_distinct(list_transform(regexp_extract_all({x}, '[A-Za-z][A-Za-z\\-]{{2,}}'), lambda w: lower(w)))"
+
+
+@query(
+    "e5_shared_query",
+    f"""WITH a AS (SELECT conv_id, turn, text AS after, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before FROM conversations), s AS (SELECT conv_id, turn, unnest(list_intersect({_LOW.format(x='before')}, {_LOW.format(x='after')})) AS w FROM a WHERE before IS NOT NULL),
+df AS (SELECT w, count(*) AS df FROM (SELECT unnest({_LOW.format(x='text')}) AS w FROM conversations) GROUP BY w), k AS (SELECT conv_id, turn, w, row_number() OVER (PARTITION BY conv_id, turn ORDER BY df, w) AS i FROM s JOIN df USING (w)) SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS query FROM k WHERE i <= 14 GROUP BY conv_id, turn""",
+)
 def e5(spark, sf):
     rows = _adjacent(spark, sf).withColumn("w", F.explode(F.array_intersect(F.transform(X.words(F.col("before")), F.lower), F.transform(X.words(F.col("after")), F.lower))))
     df = table(spark, sf, "conversations").select(F.explode(F.array_distinct(F.transform(X.words(F.col("text")), F.lower))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
