@@ -168,7 +168,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additiv
     rows = rows.select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     # at most `sample` rows of two numbers; copies of an id could make more of them
     texts = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("id")).select("id", "y", F.xxhash64("id", "text", "y").alias("h"), "text")
-    found = feature_rows(texts.orderBy("h", "id", "y").limit(sample), "h", "id", "y").orderBy("h", "id", "y", "x").collect()
+    # features come first, where the texts are: only numbers meet in the task that takes the least hashes
+    found = feature_rows(texts, "h", "id", "y").orderBy("h", "id", "y", "x").limit(sample).collect()
     x = np.array([r["x"] for r in found], dtype=float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r["y"] for r in found], dtype=float))
 
