@@ -156,7 +156,8 @@ def mixed_documents(docs: DataFrame, seed: int = 8, **plan) -> DataFrame:
     taken = groups.filter("epochs + extra > 0").select(*named.values())
     if taken.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         taken = F.broadcast(taken)
-    key = sampling_key(F.col("doc_id"), F.col("text"), word_count(F.col("text")), seed)
+    # never null; said so, as the join would else compute the key once more to sift nulls out
+    key = F.coalesce(sampling_key(F.col("doc_id"), F.col("text"), word_count(F.col("text")), seed), F.lit(0.0))
     same = F.col("doc_id").eqNullSafe(F.col(f"{p}doc_id")) & F.col("source").eqNullSafe(F.col(f"{p}source")) & (F.col(f"{p}own") == F.col(f"{p}key"))
     rows = docs.withColumn(f"{p}own", key).join(taken, same)
     n, extra = F.col(f"{p}n"), F.col(f"{p}extra")
