@@ -50,7 +50,7 @@ SHORT = 48
 LONG = 4096
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_TABLE = 20
+_TABLE = 18
 
 
 class Model:
@@ -84,14 +84,17 @@ class Model:
         by_length: dict[int, list[int]] = {}
         for i in plain:
             by_length.setdefault(len(pieces[i]), []).append(i)
-        self.maybe, self.keys, self.ids = {}, {}, {}
+        #: For each length, by a hash's first bits: 1 where a piece may be, and 2 where the start of a longer one may be.
+        self.maybe = {n: np.zeros(1 << _TABLE, dtype=np.uint8) for n in range(1, self.longest + 1)}
+        self.keys, self.ids = {}, {}
         for n, ids in by_length.items():
             points = np.array([[ord(c) for c in pieces[i]] for i in ids], dtype=np.uint64)
-            keys = mixed((mixed(points + np.uint64(1)) * np.cumprod(np.full(n, _R), dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
+            hashes = mixed(np.cumsum(mixed(points + np.uint64(1)) * np.cumprod(np.full(n, _R), dtype=np.uint64), axis=1, dtype=np.uint64))
+            keys = hashes[:, -1]
             order = np.argsort(keys)
             self.keys[n], self.ids[n] = keys[order], np.array(ids)[order]
-            self.maybe[n] = np.zeros(1 << _TABLE, dtype=bool)
-            self.maybe[n][keys >> np.uint64(64 - _TABLE)] = True
+            for k in range(1, n + 1):
+                self.maybe[k][hashes[:, k - 1] >> np.uint64(64 - _TABLE)] |= 1 if k == n else 2
 
 
 @lru_cache(maxsize=4)
@@ -130,13 +133,16 @@ def _arc_table(m: Model, x: np.ndarray, source: np.ndarray, left: np.ndarray) ->
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power, dtype=np.uint64)))
     back = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(x), _R_INV), dtype=np.uint64)))
     arcs = np.full((m.longest, len(source)), -1, dtype=np.int32)
+    open_ = np.arange(len(source))  # places from where a piece may go on
     for n in range(1, m.longest + 1):
-        if n in m.keys:
-            at = np.flatnonzero(left >= n)
-            s = source[at]
-            keys = mixed((sums[s + n] - sums[s]) * back[s])
-            hit = m.maybe[n][keys >> np.uint64(64 - _TABLE)]
-            at, keys = at[hit], keys[hit]
+        open_ = open_[left[open_] >= n]
+        s = source[open_]
+        keys = mixed((sums[s + n] - sums[s]) * back[s])
+        kind = m.maybe[n][keys >> np.uint64(64 - _TABLE)]
+        hit = np.flatnonzero(kind & 1)
+        at, keys = open_[hit], keys[hit]
+        open_ = open_[kind >= 2]
+        if len(at):
             found = np.minimum(np.searchsorted(m.keys[n], keys), len(m.keys[n]) - 1)
             same = m.keys[n][found] == keys
             arcs[n - 1, at[same]] = m.ids[n][found[same]]
