@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,8 @@ from .fingerprints import mixed
 SAMPLES, BITS, MISS = 256, 1024, 1e-6
 #: Classes in a block of a bucket, and shingles: what is held at once follows from both.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Bytes of an Arrow batch: each task holds a few of them, in the JVM and in its Python worker, which keeps what it once took.
+BATCH_BYTES = 2 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONGS = BITS // 64
 
@@ -122,6 +125,20 @@ def estimate(differing_bits: int) -> float:
     return 1 + BITS / (4 * SAMPLES) * math.log(max(1 - 2 * differing_bits / BITS, 1e-9))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of about BATCH_BYTES for what runs inside, unless the session sets their bytes itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def _longs(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64()))
@@ -306,7 +323,11 @@ def _completions(reps: DataFrame, members: DataFrame, found: DataFrame, p: Plan)
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """The rows' signatures (doc_id, text_hash, n_shingles, set_id), and set_id with its component's
     first row: component_id and, as stays, that row's text hash. Null ids come last."""
-    p = plan(words, percent)
+    with _small_batches(docs.sparkSession):  # all Arrow functions run before what is returned is read
+        return _linked(docs, plan(words, percent))
+
+
+def _linked(docs: DataFrame, p: Plan) -> tuple[DataFrame, DataFrame]:
     sigs = written(signatures(docs, p), "signatures")
     reps = sigs.filter("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "set_id", "r", "r.doc_id", "r.text_hash", "bands", "sketch", "n_shingles"), "classes")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 
 from chronolith.llm import near_dedup as N
@@ -56,6 +58,23 @@ def test_blocks_of_a_bucket_meet(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == groups(rows, 3, 85)
 
 
+def test_long_texts_reach_python_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    plainly = N.shingle_set
+
+    def watched(text, words):
+        assert sys._getframe(1).f_locals["batch"].nbytes < 8 << 20, "a batch of many texts"
+        return plainly(text, words)
+
+    monkeypatch.setattr(N, "shingle_set", watched)
+    base = [prose(3000, s) for s in range(8)]
+    rows = [(i, f"{i // 2} {base[i % 8 // 2]} {base[4 + i // 80]}", None, None, None, None, None) for i in range(320)]
+    before = spark.conf.get(key, None)
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1), 3, 85).collect()
+    assert len(got) == 320 and spark.conf.get(key, None) == before
+    assert len({r["component_id"] for r in got}) == 16
+
+
 def test_empty_table(nothing):
     assert N.near_duplicates(nothing).collect() == []
     assert N.without_near_duplicates(nothing).collect() == []
