@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,11 @@ def _dealt(rows: DataFrame, order: tuple[Column | str, ...]) -> DataFrame:
 
 def _with_starts(dealt: DataFrame, value: Column) -> DataFrame:
     sums = sorted((r["__part"], r["s"]) for r in dealt.groupBy("__part").agg(F.sum(value).alias("s")).collect())
-    kind, plain = ("double", float) if any(isinstance(s, float) for _, s in sums) else ("long", int)
+    kind, plain = (pa.float64(), float) if any(isinstance(s, float) for _, s in sums) else (pa.int64(), int)
     starts = accumulate([plain(s or 0) for _, s in sums], initial=plain(0))
-    known = dealt.sparkSession.createDataFrame([(p, x) for (p, _), x in zip(sums, starts, strict=False)], f"__p int, __start {kind}")
+    # as an Arrow table: rows of Python objects would start Python workers on the executors
+    known = pa.table([pa.array([p for p, _ in sums], pa.int32()), pa.array(list(starts)[: len(sums)], kind)], ["__p", "__start"])
+    known = dealt.sparkSession.createDataFrame(known)
     return dealt.join(F.broadcast(known), F.col("__part") == F.col("__p")).drop("__p")
 
 

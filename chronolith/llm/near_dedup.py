@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import BROADCAST_KEYS, dropped, table, written
+from .common import ARROW_BYTES, BATCH_BYTES, BROADCAST_KEYS, dropped, table, written
 from .components import connected_components
 from .fingerprints import mixed
 
@@ -42,8 +42,6 @@ from .fingerprints import mixed
 SAMPLES, BITS, MISS = 256, 1024, 1e-6
 #: Classes in a block of a bucket, and shingles: what is held at once follows from both.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-#: Bytes of an Arrow batch: each task holds a few of them, in the JVM and in its Python worker, which keeps what it once took.
-BATCH_BYTES = 2 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONGS = BITS // 64
 
@@ -128,15 +126,14 @@ def estimate(differing_bits: int) -> float:
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of about BATCH_BYTES for what runs inside, unless the session sets their bytes itself."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is not None:
+    if spark.conf.get(ARROW_BYTES, None) is not None:
         yield
         return
-    spark.conf.set(key, BATCH_BYTES)
+    spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.unset(key)
+        spark.conf.unset(ARROW_BYTES)
 
 
 def _longs(rows: list[np.ndarray]) -> pa.Array:

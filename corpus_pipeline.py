@@ -1,7 +1,9 @@
 """From raw documents to training pieces, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-back as the next stage's docs. All but the last return the columns of documents.
+back as the next stage's docs. All but the last return the columns of documents. Stages that hand whole
+texts to Python bound the session's Arrow batches, unless it has a bound: executors never give back what
+the largest batches took, in any stage.
 
 Defined results: an empty table passes through all stages; null texts fail the quality rules.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import scratch, table
+from chronolith.llm.common import keep_batches_small, scratch, table
 from chronolith.llm.mixing import mixed_documents
 from chronolith.llm.near_dedup import without_near_duplicates
 from chronolith.llm.pieces import encoded
@@ -31,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked and n_chars counted anew."""
+    keep_batches_small(spark)
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -41,6 +44,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row of pieces for each document of the mix."""
+    keep_batches_small(spark)
     return encoded(docs)
 
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from chronolith.functions.ordering import numbered, summed_before
 from chronolith.llm import mixing as M
 
 
@@ -89,3 +90,12 @@ def test_words_of_the_rows_meet_the_targets_whatever_the_ids(spark):
 def test_repeats_of_a_row_are_dealt_out(spark):
     rows = spark.createDataFrame([("x", 2500), ("y", 1), ("z", 1000)], "a string, n long")
     assert {r["a"]: r["count"] for r in M._repeated(rows, "n").groupBy("a").count().collect()} == {"x": 2500, "y": 1, "z": 1000}
+
+
+def test_places_in_an_order_need_no_python_worker(spark):
+    out = numbered(spark.range(100).repartition(4), "i", F.desc("id"))
+    assert "RDD" not in out._jdf.queryExecution().optimizedPlan().toString(), "rows of Python objects are pickled by workers"
+    assert sorted((r["i"], r["id"]) for r in out.collect()) == [(i, 99 - i) for i in range(100)] and out.schema["i"].dataType.typeName() == "long"
+    assert numbered(spark.range(0), "i", "id").collect() == []
+    out = summed_before(spark.range(9), "s", F.col("id") / 2, "id")
+    assert sorted((r["id"], r["s"]) for r in out.collect()) == [(i, i * (i - 1) / 4) for i in range(9)]

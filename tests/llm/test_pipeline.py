@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import corpus_pipeline
@@ -61,6 +62,35 @@ def test_secrets_are_gone_and_lengths_counted(spark):
     assert "hunter2" not in row["text"] and row["n_chars"] == len(row["text"]) and re.search(r"\[secret\]", row["text"])
 
 
+def test_long_texts_reach_python_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    look, encode = secrets.looked_at, pieces.encode
+
+    def looked_at(text):
+        assert sys._getframe(1).f_locals["batch"].nbytes < 4 << 20, "a batch of many texts"
+        return look(text)
+
+    def watched(*given):
+        assert sys._getframe(1).f_locals["whole"].nbytes < 4 << 20, "a batch of many texts"
+        return encode(*given)
+
+    monkeypatch.setattr(secrets, "looked_at", looked_at)
+    monkeypatch.setattr(pieces, "encode", watched)
+    base = prose(6000, 3)
+    docs = spark.createDataFrame([(i, f"{i} {base}", "en", "s", 1, None, None) for i in range(250)], SCHEMA).drop("n_words", "KEPT").coalesce(1)
+    assert sum(len(r["text"]) for r in docs.collect()) > 6 << 20
+    before = spark.conf.get(key, None)
+    try:
+        for stage in (corpus_pipeline.mask_secrets, corpus_pipeline.encode_pieces):
+            spark.conf.unset(key)
+            assert len(stage(spark, docs, SF).collect()) == 250
+        spark.conf.set(key, 1 << 20)
+        corpus_pipeline.encode_pieces(spark, docs, SF)
+        assert spark.conf.get(key) == str(1 << 20), "the session's own bound goes first"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
