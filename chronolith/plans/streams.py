@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.storage import scratch
@@ -13,10 +11,21 @@ from .temporal import _SCD2_SQL
 
 
 def _run(df, mode: str):
-    """The rows of a streaming query that takes what there is and ends."""
-    name = f"stream_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """The rows of a streaming query that takes what there is and ends.
+
+    Batches are written to the shared folder by their number, so the driver holds none of them; of a
+    complete result the last batch has all rows.
+    """
+    path, last = scratch(df.sparkSession, "stream"), []
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    df.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch(df.sparkSession, "stream-log")).start().awaitTermination()
+    if not last:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(*[f"{path}/batch={n}" for n in (last[-1:] if mode == "complete" else last)])
 
 
 def _events(spark, sf):
