@@ -32,11 +32,13 @@ def first_spellings(ws: Column) -> Column:
 
 
 def salient_terms(text: Column, stop: Iterable[str], limit: int = 14) -> Column:
+    """The first `limit` distinct words that are no stop words, as first spelled. A text's words are found once:
+    what a lambda's body names is computed for each element, what it takes as an argument is not."""
     stop = [F.lit(w) for w in stop]
     kept = F.filter(words(text), lambda w: ~F.lower(w).isin(*stop))
-    lower = F.transform(kept, F.lower)
-    first = F.filter(kept, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
-    return F.slice(first, 1, limit)
+    pairs = F.transform(F.array(kept), lambda k: F.struct(k.alias("as"), F.transform(k, F.lower).alias("low")))
+    first = lambda p: F.transform(F.slice(F.array_distinct(p["low"]), 1, limit), lambda w: F.get(p["as"], (F.array_position(p["low"], w) - 1).cast("int")))
+    return F.get(F.transform(pairs, first), 0)
 
 
 def token_count(text: Column) -> Column:
