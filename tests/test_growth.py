@@ -22,3 +22,27 @@ def test_salient_terms_of_long_texts(spark):
     got = {r["id"]: r["x"] for r in rows.collect()}
     assert time.time() - start < 20  # with a list of words for each word it took minutes
     assert got == {0: ["cat", "dog", "bird-s"], 1: [], 2: None, 3: ["last"], 4: list(dict.fromkeys(texts[4].split()))[:14]}
+
+
+def test_matching_blocks_are_difflib_s(monkeypatch):
+    from difflib import SequenceMatcher
+
+    draw = random.Random(5)
+    for few in (24, 0):
+        monkeypatch.setattr(X, "FEW_WORDS", few)
+        monkeypatch.setattr(X, "MANY", 10 * few)
+        for _ in range(150):
+            words = draw.choice([1, 2, 5, 40])
+            a = [str(draw.randrange(words)) for _ in range(draw.randrange(70))]
+            b = [w if draw.random() < 0.8 else str(draw.randrange(words + 2)) for w in a if draw.random() < 0.9] if draw.random() < 0.6 else [str(draw.randrange(words)) for _ in range(draw.randrange(70))]
+            want = SequenceMatcher(None, a, b, autojunk=False)
+            assert X.token_ops(" ".join(a), " ".join(b)) == [(op, " ".join(a[i:j]), " ".join(b[k:m])) for op, i, j, k, m in want.get_opcodes()]
+            assert X.is_alike(" ".join(a), " ".join(b), 0.6) == (want.ratio() >= 0.6)
+
+
+def test_words_that_repeat_do_not_cost_their_cube():
+    a = [w for i in range(1500) for w in (f"x{i}", "|")]
+    start = time.time()
+    ops = X.token_ops(" ".join(a), " ".join(a).upper())
+    assert time.time() - start < 10  # difflib takes minutes
+    assert [o for o, _, _ in ops] == ["replace", "equal"] * 1500
