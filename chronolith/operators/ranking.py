@@ -7,14 +7,18 @@ their terms' buckets. Stems are the same on both sides.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.porter import stemmed
-from ..functions.storage import dropped, scratch, written
+from ..functions.porter import stem, stemmed
+from ..functions.storage import scratch, written
 
 K1, B, FUSION_K = 1.2, 0.75, 60
 #: The most distinct tokens of a query.
@@ -48,6 +52,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 #: Folders that terms are dealt to by hash; a query reads those of its terms.
 BUCKETS = 64
+POSTING = "term string, id long, dl int, tf long, bucket int"
+#: Texts whose tokens a worker has as Python objects at once, and the stems that it keeps.
+TEXTS_AT_ONCE, MOST_STEMS = 64, 1 << 17
 
 
 def _bucket(term: Column) -> Column:
@@ -64,24 +71,57 @@ class Index:
     stats: DataFrame
 
 
+class _Stems(dict):
+    def __missing__(self, token: str) -> str:
+        self[token] = out = stem(token)
+        return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of texts whose tokens are joined by blanks: term, id, dl and tf. Few texts at a time become Python objects."""
+    known = _Stems()
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(at, TEXTS_AT_ONCE)
+            terms, each, lengths, tf = [], [], [], []
+            for text in part.column("words").to_pylist():
+                tokens, found = text.split(" ") if text else [], Counter()
+                for token, n in Counter(tokens).items():
+                    found[known[token]] += n
+                terms += found
+                tf += found.values()
+                each.append(len(found))
+                lengths.append(len(tokens))
+            if len(known) > MOST_STEMS:
+                known.clear()
+            each = np.array(each, np.int64)
+            ids = part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), each)))
+            columns = [pa.array(terms, pa.string()), ids, pa.array(np.repeat(np.array(lengths, np.int32), each)), pa.array(tf, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "id", "dl", "tf"])
+
+
 def build_index(rows: DataFrame, path: str, text: Column | None = None) -> Index:
-    """Writes the index of rows (id, text) under path. Texts are read and stemmed once; postings move once, to
-    their bucket, where they lie in order of term."""
+    """Writes the index of rows (id, text) under path. Texts are read once, their terms stemmed and counted where
+    they lie; postings move once, to their bucket, where they lie in order of term."""
     spark = rows.sparkSession
-    found = rows.select("id", stemmed(tokens(F.col("text") if text is None else text)).alias("terms"))
-    found = written(found.select("id", F.size("terms").alias("dl"), "terms"), "analysed")
-    found.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-    counted = found.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dealt = counted.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term", "id")
+    found = rows.select(F.col("id").cast("long").alias("id"), F.array_join(tokens(F.col("text") if text is None else text), " ").alias("words"))
+    counted = found.mapInArrow(_counted, "term string, id long, dl int, tf long")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+    if size["n"] > size["ids"]:  # texts of one id and length count as one, as their postings are equal but for tf
+        counted = counted.groupBy("term", "id", "dl").agg(F.sum("tf").alias("tf"))
+    # rebalanced, so that a task's share is bounded however large a bucket is
+    dealt = counted.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    df = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    df = spark.read.schema(POSTING).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     df.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
-    dropped(found)
+    total = spark.read.schema("term string, df long, cf long, bucket int").parquet(f"{path}/vocabulary").agg(F.coalesce(F.sum("cf"), F.lit(0)))
+    avgdl = total.first()[0] / size["n"] if size["n"] else None
+    spark.range(1).select(F.lit(size["n"]).cast("long").alias("n"), F.lit(avgdl).cast("double").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.schema("term string, id long, dl int, tf long, bucket int").parquet(f"{path}/postings")
+    postings = spark.read.schema(POSTING).parquet(f"{path}/postings")
     vocabulary = spark.read.schema("term string, df long, cf long, bucket int").parquet(f"{path}/vocabulary")
     return Index(postings, vocabulary, spark.read.schema("n long, avgdl double").parquet(f"{path}/stats"))
 

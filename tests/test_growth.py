@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from chronolith.operators import text as X
@@ -46,3 +47,30 @@ def test_words_that_repeat_do_not_cost_their_cube():
     ops = X.token_ops(" ".join(a), " ".join(a).upper())
     assert time.time() - start < 10  # difflib takes minutes
     assert [o for o, _, _ in ops] == ["replace", "equal"] * 1500
+
+
+def test_postings_are_counted_where_their_texts_lie(spark, tmp_path):
+    from collections import Counter
+
+    from chronolith.functions.porter import stem
+    from chronolith.operators import ranking as R
+
+    texts = {i: invented(i % 40, "ab", i) + (" Leaves, leaving" if i % 3 else "") for i in range(300)} | {300: None, 301: " ?! "}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    index = R.build_index(rows, f"{tmp_path}/index")
+    words = {i: [w.strip(",").lower() for w in (t or "").split() if w != "?!"] for i, t in texts.items()}
+    want = {(t, i, len(ws), n) for i, ws in words.items() for t, n in Counter(map(stem, ws)).items()}
+    assert {tuple(r) for r in R.postings(index).collect()} == want
+    assert {tuple(r) for r in R.vocabulary(index).collect()} == set(Counter(t for t, *_ in want).items())
+    assert tuple(index.stats.first()) == (302, sum(map(len, words.values())) / 302)
+    batches = rows.select("id", F.array_join(R.tokens(F.col("text")), " ").alias("words"))
+    assert {tuple(r) for r in batches.mapInArrow(R._counted, "term string, id long, dl int, tf long").collect()} == want
+
+
+def test_postings_of_a_repeated_id_are_one(spark, tmp_path):
+    from chronolith.operators import ranking as R
+
+    index = R.build_index(spark.createDataFrame([(1, "leave it"), (1, "leave me"), (1, "leave"), (None, "leave")], "id long, text string"), f"{tmp_path}/index")
+    key = lambda x: (x[0], x[1] or 0, x[2])
+    assert sorted((tuple(r) for r in R.postings(index).collect()), key=key) == [("it", 1, 2, 1), ("leav", None, 1, 1), ("leav", 1, 1, 1), ("leav", 1, 2, 2), ("me", 1, 2, 1)]
+    assert R.build_index(spark.createDataFrame([], "id long, text string"), f"{tmp_path}/none").stats.first()["avgdl"] is None
