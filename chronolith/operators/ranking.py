@@ -23,6 +23,8 @@ from ..functions.storage import scratch, written
 K1, B, FUSION_K = 1.2, 0.75, 60
 #: The most distinct tokens of a query.
 MOST_TOKENS = 64
+#: The most ranked rows that are counted and then broadcast.
+BROADCAST_KEYS = 1_000_000
 #: Queries whose vectors are broadcast at once.
 MOST_QUERIES = 4096
 
@@ -232,7 +234,9 @@ def overlap(query: Column, text: Column) -> Column:
 
 def reranked(candidates: DataFrame, queries: DataFrame, texts: DataFrame, scorer=overlap) -> DataFrame:
     """candidates (query_id, id, rank) in the order of scorer(query, text), ties by their old rank."""
-    rows = candidates.join(texts.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
+    candidates = written(candidates, "candidates")
+    few = candidates.count() <= BROADCAST_KEYS  # then no text moves
+    rows = texts.select("id", "text").join(F.broadcast(candidates) if few else candidates, "id").join(queries.select("query_id", "query"), "query_id")
     rows = rows.withColumn("score", F.round(scorer(F.col("query"), F.col("text")), 6))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rank"))
     return rows.withColumn("rank", F.row_number().over(order)).select("query_id", "id", "score", "rank")

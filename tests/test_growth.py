@@ -74,3 +74,18 @@ def test_postings_of_a_repeated_id_are_one(spark, tmp_path):
     key = lambda x: (x[0], x[1] or 0, x[2])
     assert sorted((tuple(r) for r in R.postings(index).collect()), key=key) == [("it", 1, 2, 1), ("leav", None, 1, 1), ("leav", 1, 1, 1), ("leav", 1, 2, 2), ("me", 1, 2, 1)]
     assert R.build_index(spark.createDataFrame([], "id long, text string"), f"{tmp_path}/none").stats.first()["avgdl"] is None
+
+
+def test_no_text_moves_to_a_few_candidates(spark):
+    from chronolith.operators import ranking as R
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(i, f"leave {i}") for i in range(50)], "id long, text string")
+        found = R.reranked(spark.createDataFrame([(1, 7, 1), (1, 9, 2)], "query_id int, id long, rank int"), spark.createDataFrame([(1, "leave 9")], "query_id int, query string"), texts)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" not in plan and "BroadcastHashJoin" in plan
+        assert [(r["id"], r["rank"]) for r in found.orderBy("rank").collect()] == [(9, 1), (7, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
