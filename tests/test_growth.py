@@ -89,3 +89,37 @@ def test_no_text_moves_to_a_few_candidates(spark):
         assert [(r["id"], r["rank"]) for r in found.orderBy("rank").collect()] == [(9, 1), (7, 2)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_references_are_looked_for_where_they_may_begin(monkeypatch):
+    from chronolith.operators import graph as G
+
+    def plain(text):
+        """A walk over all tokens."""
+        scan, out = G._Scanner(text), []
+        while scan.has():
+            begin = scan.at
+            kind, targets = G._reference(scan, "10.1", "a-1", 5)
+            if targets is None:
+                scan.at = begin + 1
+            else:
+                out.append((kind, scan.tokens[begin].start(), scan.tokens[scan.at - 1].end(), list(dict.fromkeys(targets))))
+        return out
+
+    draw = random.Random(2)
+    bits = "paragraph Paragraphs ( ) (a) (1) ( b ) § §§ §1.2 1.2 5 12 5a U.S.C. USC CFR cfr part parts part351 351 subpart B of this section chapter and or , through . §§§1.4 6304 app. x_ (part this(section".split()
+    for _ in range(3000):
+        text = "".join(draw.choice(bits) + draw.choice(["", " ", "\n"]) for _ in range(draw.randrange(1, 25)))
+        assert [(r["kind"], r["start"], r["end"], r["targets"]) for r in G.references(text, "10.1", "a-1")] == plain(text)
+
+    read, token = [0], G._TOKEN
+
+    class Counted:
+        def finditer(self, *of):
+            for m in token.finditer(*of):
+                read[0] += 1
+                yield m
+
+    monkeypatch.setattr(G, "_TOKEN", Counted())
+    assert len(G.references(invented(20_000) + " See § 101.1(a)(1).", "10.1", "a")) == 1
+    assert read[0] < 50
