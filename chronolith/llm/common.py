@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import dropped, scratch, written
+from ..functions.storage import ARROW_BYTES, BATCH_BYTES, dropped, keep_batches_small, scratch, written
 
 __all__ = ["ARROW_BYTES", "BATCH_BYTES", "BROADCAST_KEYS", "GAP", "WORD", "by_small_key", "dropped", "free_prefix", "keep_batches_small", "scratch", "table", "with_columns", "word_count", "words", "written"]
 
@@ -20,22 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The largest number of keys of 8 bytes that an operator broadcasts after counting them.
 BROADCAST_KEYS = 1_000_000
 
-#: The session's bound on an Arrow batch.
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Bytes of an Arrow batch: each task holds a few of them, in the JVM and in its Python worker, which keeps what it once took.
-BATCH_BYTES = 2 << 20
-
-
-def keep_batches_small(spark: SparkSession) -> None:
-    """Arrow batches of about BATCH_BYTES from here on, unless the session sets their bytes itself.
-
-    For rows whose Arrow functions run when the caller reads them: Spark takes the bound of that time,
-    so it stays set.
-    """
-    if spark.conf.get(ARROW_BYTES, None) is None:
-        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

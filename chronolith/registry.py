@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.storage import keep_batches_small
+
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +30,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; Arrow functions over it take batches of bounded bytes."""
+    keep_batches_small(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -123,3 +123,21 @@ def test_references_are_looked_for_where_they_may_begin(monkeypatch):
     monkeypatch.setattr(G, "_TOKEN", Counted())
     assert len(G.references(invented(20_000) + " See § 101.1(a)(1).", "10.1", "a")) == 1
     assert read[0] < 50
+
+
+def test_arrow_functions_over_tables_take_batches_of_bounded_bytes(spark, tmp_path):
+    from chronolith import registry
+
+    key, held = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.unset(key)
+    try:
+        spark.createDataFrame([(i, "x" * 100_000) for i in range(200)], "id int, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+        @F.pandas_udf("long")
+        def together(x: pd.Series) -> pd.Series:
+            return pd.Series([len(x)] * len(x))
+
+        rows = registry.table(spark, str(tmp_path), "documents").select(together("text").alias("n")).collect()
+        assert len(rows) == 200 and max(r["n"] for r in rows) <= 50
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
